@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.functions.addresses import page_address
+from auditloom.llm.bpe import encode_texts
 from auditloom.llm.near_duplicates import all_pairs, class_links
 from auditloom.llm.pages import KEYS, NEAR, Extra, fit_model, main_body_keys, page_bodies
 from auditloom.llm.residue import residue_pages
 from auditloom.llm.top_n import top_n
 from auditloom.session import table, written
 
+#: Folder of the public tokenizers' files, the same on every machine.
+TOKENIZERS = os.environ.get("AUDITLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Similarity from which p4 counts two main bodies as near-duplicates; its statement fixes it.
 BODY_SIMILARITY = 0.7
 
@@ -65,11 +69,17 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue_pages(_bodies(spark, directory, None))
 
 
+def p7_ids(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Ids of every document by byte_bpe_50k; empty and null texts have an empty list."""
+    return encode_texts(table(spark, directory, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_ids": p7_ids,
 }
 
 ORACLES: dict[str, str] = {
