@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 _SLICE_CHARS = 1 << 20
 #: Longer pieces are told apart by their text, shorter ones by a 64-bit hash and their length.
 _LONG = 256
+#: A packed id; the vocabularies have less than 65,536.
+ID_TYPE, ID_BYTES = "<u2", 2
 #: Pieces that a task remembers before it starts anew.
 _MOST_PIECES = 1_000_000
 _OTHER, _LETTER, _NUMBER, _BLANK, _SPACE = 0, 1, 2, 3, 4
@@ -72,6 +74,8 @@ class Vocabulary:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         ids = model["vocab"]
+        if max(ids.values()) >= 1 << 8 * ID_BYTES:
+            raise ValueError(f"ids of {path} don't fit {ID_BYTES} bytes")
         symbols = _byte_symbols()
         self.byte_ids = [0] * 256
         for symbol, byte in symbols.items():
@@ -279,21 +283,30 @@ class Encoder:
         return result
 
 
-def encode_texts(df: DataFrame, key: str, text: str, path: str, counts: bool = False) -> DataFrame:
-    """`key` and ids (or, with `counts`, tokens: their number) of each row's text, whole and without special tokens.
+def encode_texts(df: DataFrame, keys: Sequence[str], text: str, path: str, form: str = "ids") -> DataFrame:
+    """`keys` and the tokens of each row's text, whole and without special tokens, in one of three forms:
 
+    ids: array<int>; count: tokens bigint; packed: tokens bigint and ids as bytes, ID_BYTES little-endian ones for each.
     Null and empty texts have no ids: an empty list, 0 tokens. `path` names a tokenizer file on every machine.
     """
-    kind = dict(df.dtypes)[key]
+    kinds = dict(df.dtypes)
+    made = {"ids": "ids array<int>", "count": "tokens bigint", "packed": "tokens bigint, ids binary"}[form]
+    names = [*keys, *[part.split()[0] for part in made.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(path))
         for batch in batches:
-            ids, sizes = encoder.encode([x or "" for x in batch.column(1).to_pylist()])
-            if counts:
-                column: pa.Array = pa.array(sizes)
+            ids, sizes = encoder.encode([x or "" for x in batch.column(len(keys)).to_pylist()])
+            ends = np.r_[0, np.cumsum(sizes)]
+            if form == "ids":
+                columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
             else:
-                column = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), column], [key, "tokens" if counts else "ids"])
+                columns = [pa.array(sizes)]
+                if form == "packed":
+                    raw = ids.astype(ID_TYPE)
+                    buffers = [None, pa.array(ends * ID_BYTES, pa.int32()).buffers()[1], pa.py_buffer(raw)]
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(sizes), buffers))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], names)
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, " + ("tokens bigint" if counts else "ids array<int>"))
+    ddl = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return df.select(*keys, text).mapInArrow(run, f"{ddl}, {made}")

@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from auditloom.functions.addresses import page_address
 from auditloom.llm.bpe import encode_texts
+from auditloom.llm.mixing import mix
 from auditloom.llm.near_duplicates import all_pairs, class_links
 from auditloom.llm.pages import KEYS, NEAR, Extra, fit_model, main_body_keys, page_bodies
+from auditloom.llm.reading_level import fit, reading_levels
 from auditloom.llm.residue import residue_pages
 from auditloom.llm.top_n import top_n
 from auditloom.session import table, written
@@ -71,7 +73,34 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Ids of every document by byte_bpe_50k; empty and null texts have an empty list."""
-    return encode_texts(table(spark, directory, "documents"), "doc_id", "text", f"{tokenizers}/byte_bpe_50k.json")
+    return encode_texts(table(spark, directory, "documents"), ["doc_id"], "text", f"{tokenizers}/byte_bpe_50k.json")
+
+
+def _mix(spark: SparkSession, directory: str, tokenizers: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, directory, "documents")
+    ids = encode_texts(documents, ["source"], "text", f"{tokenizers}/byte_bpe_50k.json", "packed")
+    return mix(written(ids, "encoded"), table(spark, directory, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """The mixed corpus: token blocks of all sources by their target shares."""
+    return _mix(spark, directory, tokenizers)[0]
+
+
+def p8_shares(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Target and actual share of every source of the mix."""
+    return _mix(spark, directory, tokenizers)[1]
+
+
+def p9_levels(spark: SparkSession, directory: str) -> DataFrame:
+    """Words of English prose and reading level of every document."""
+    documents = table(spark, directory, "documents")
+    return reading_levels(documents, fit(documents, table(spark, directory, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents whose English prose is of level 4 or 5."""
+    return p9_levels(spark, directory).where("reading_level >= 4").select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,6 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 ORACLES: dict[str, str] = {
