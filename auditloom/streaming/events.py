@@ -7,8 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Window in which the publisher drops repeated messages.
 DEDUPLICATION = "5 minutes"
@@ -33,34 +33,29 @@ def completed(events: DataFrame, key: str, kind: str, wanted: Sequence[str], at:
     return firsts.groupBy(key).agg(F.count("*").alias("kinds"), F.max("at").alias("completed_at")).where(F.col("kinds") == len(wanted)).drop("kinds")
 
 
-class Barrier(StatefulProcessor):
-    """Emits a key once, when all wanted kinds have come. Repeated and late events change nothing; idle keys expire."""
+def barrier_stream(events: DataFrame, wanted: Sequence[str], expire_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """key and kinds of every key of the stream (key, kind), once, when all wanted kinds have come, in any order.
 
-    def __init__(self, wanted: Sequence[str], expire_ms: int = 24 * 3600 * 1000):
-        self.wanted, self.expire_ms = sorted(wanted), expire_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getMapState("seen", "kind string", "n int", ttlDurationMs=self.expire_ms)
-        self._fired = handle.getValueState("fired", "done boolean", ttlDurationMs=self.expire_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for kind in frame["kind"].dropna():
-                if kind in self.wanted and not self._seen.containsKey((kind,)):
-                    self._seen.updateValue((kind,), (1,))
-        if not self._fired.exists() and all(self._seen.containsKey((k,)) for k in self.wanted):
-            self._fired.update((True,))
-            yield pd.DataFrame({"key": [key[0]], "kinds": [len(self.wanted)]})
-
-    def close(self) -> None:
-        pass
-
-
-def barrier_stream(events: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """key and kinds of every key of the stream (key, kind) for which all wanted kinds have come."""
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=Barrier(wanted), outputStructType="key string, kinds int", outputMode="Update", timeMode="ProcessingTime"
-    )
+    Repeated and later events change nothing. The state of a key is one number and expires when the key has been idle.
+    """
+    bits = {kind: 1 << k for k, kind in enumerate(sorted(set(wanted)))}
+    full = (1 << len(bits)) - 1
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else 0
+        seen = before
+        for frame in frames:
+            for kind in frame["kind"]:
+                seen |= bits.get(kind, 0)
+        state.update((seen,))
+        state.setTimeoutDuration(expire_ms)
+        if seen == full != before:
+            yield pd.DataFrame({"key": [key[0]], "kinds": [len(bits)]})
+
+    return events.groupBy("key").applyInPandasWithState(fold, "key string, kinds int", "seen int", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def undelivered(wanted: DataFrame, log: DataFrame, keys: Sequence[str] = ("audit_id", "channel")) -> DataFrame:
