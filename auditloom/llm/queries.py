@@ -121,6 +121,6 @@ ORACLES: dict[str, str] = {
           SELECT audit_id, issue_id, row_number() OVER (
             PARTITION BY audit_id ORDER BY priority_score DESC, impact_score DESC, rule_id, issue_id) AS place
           FROM (SELECT DISTINCT audit_id, issue_id, rule_id, priority_score, impact_score FROM prioritized_issues
-                WHERE priority_score IS NOT NULL AND NOT isnan(priority_score)))
+                WHERE priority_score IS NOT NULL AND CAST(priority_score AS VARCHAR) <> 'nan'))
         WHERE place <= 5""",
 }

@@ -1,0 +1,125 @@
+import hashlib
+import re
+
+from auditloom.llm.blocks import leaf_blocks
+from auditloom.llm.crf import Chain, fit
+from auditloom.llm.main_body import BodyFinder, label_page, page_features, train
+from auditloom.llm.pages import KEYS, fit_model, main_body_keys, page_bodies
+from auditloom.llm.residue import residue_pages, spread_labels
+from auditloom.llm.residue_text import FILLER, NOTICE, ORDINARY, PLACEHOLDER, block_kind, has_placeholder
+from auditloom.llm.simhash import SimHasher
+from auditloom.session import written
+
+
+def page(k, body=None, layout=0):
+    prose = body or f"<h1>Story {k} of the mill</h1><p>Every mill in town {k} keeps a ledger of grain that its millers weigh.</p><ul><li>The {k} bags stand beside the door, ready and dry.</li></ul><p>Nobody moved them before noon.</p>"
+    nav = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "Shop", "News", "Help"))
+    side = f'<div class="teaser"><h4><a href="/t">Another tale {k}</a></h4><p>A short teaser text that leads to some other page.</p></div>'
+    foot = "<p>© 2024 Mill. All rights reserved.</p>"
+    if layout == 0:
+        return f'<html><body><nav><ul>{nav}</ul></nav><article>{prose}</article><aside>{side}</aside><footer>{foot}</footer></body></html>'
+    return f'<body><div class="navbar"><ul>{nav}</ul></div><div class="row"><div class="content">{prose}</div><div class="side">{side}</div></div><div class="footer">{foot}</div><noscript><p>Turn on scripts.</p></noscript></body>'
+
+
+PAGES = [page(k, layout=k % 2) for k in range(40)]
+
+
+def test_blocks():
+    blocks = leaf_blocks("<div>loose<p>One <b>two</b>&amp;three<p>next<ul><li>x<li>y</ul></div><pre><code>{{ a }}</code></pre>tail")
+    assert [(b.text, b.tag, b.leaf, b.code) for b in blocks] == [
+        ("loose", "div", False, False), ("One two&three", "p", True, False), ("next", "p", True, False), ("x", "li", True, False), ("y", "li", True, False),
+        ("{{ a }}", "pre", True, True), ("tail", "body", False, False),
+    ]
+    for html in (None, "", "   ", "<", "<p", "</p></div>", "<!-- never closed", "<script>x", "<p a='>x", "x" * 100_000, "<div>" * 3000):
+        leaf_blocks(html)
+
+
+def test_crf_learns_a_chain():
+    rows = [[["a"], ["b"], ["b"], ["c"]], [["c"], ["a"], ["b"]], [["b"], ["b"]]] * 5
+    labels = [[0, 1, 1, 0], [0, 0, 1], [1, 1]] * 5
+    model = fit(rows, labels)
+    assert [model.decode([model.score(f) for f in r]) for r in rows[:3]] == labels[:3]
+    assert fit([], []).decode([]) == [] and Chain().decode([0.0, 0.0]) == [0, 0]
+
+
+def test_gradient_matches_brute_force_likelihood():
+    # the decoded path of a fitted model is the best of all paths
+    import itertools
+
+    model = fit([[["x"], ["y"], ["x", "y"]]] * 4, [[0, 1, 1]] * 4, steps=30)
+    scores = [0.3, -0.2, 0.1]
+
+    def value(path):
+        t = model.transition
+        return sum(s for s, y in zip(scores, path) if y) + (model.start if path[0] else 0) + (model.end if path[-1] else 0) + sum(t[a][b] for a, b in zip(path, path[1:]))
+
+    assert model.decode(scores) == list(max(itertools.product((0, 1), repeat=3), key=value))
+
+
+def test_held_out_accuracy():
+    model = train(PAGES[:20])
+    finder = BodyFinder(model)
+    wrong = total = 0
+    for html in PAGES[20:]:
+        blocks = leaf_blocks(html)
+        gold = label_page(blocks)
+        made = finder.labels(blocks)
+        assert made == model.decode([model.score(f) for f in page_features(blocks)])
+        wrong += sum(a != b for a, b in zip(gold, made))
+        total += len(gold)
+    assert wrong / total < 0.02
+
+
+def test_kinds_of_blocks():
+    def kind(html):
+        return block_kind(leaf_blocks(html)[0])
+
+    for slot in ("{{ name }}", "{{{city}}}", "${price}", "#{phone}", "{title}", "{0}", "%BRAND%", "%%PHONE%%", "$CITY$", "@@X_Y@@", "__PAGE_TITLE__", "*|COMPANY|*", "&lt;%= x %&gt;", "{% block a %}", "[[price]]", "[INSERT CITY]", "[TBD: price]", "[Your Company]", "«brand»"):
+        assert kind(f"<p>Welcome to {slot} today.</p>") == PLACEHOLDER, slot
+    for text in ("The price is $40 for the set {red, blue}.", "[sic] and [translated]", "Costs 5% or 10% [1]", "a_b__c", "today every price shows $ and % side by side", "«rue»"):
+        assert not has_placeholder(text), text
+    assert kind("<pre><code>{{ name }}</code></pre>") == ORDINARY and kind("<p><code>{{ name }}</code></p>") == ORDINARY
+    assert kind("<p>Lorem ipsum dolor sit amet, quis enim ad minim.</p>") == FILLER and kind("<p>Your text goes here. Replace it before launch.</p>") == FILLER
+    assert kind("<p>Designers once filled brochures with lorem ipsum, and many of our leaflets show it.</p>") == ORDINARY
+    assert kind("<h1>404 Not Found</h1>") == NOTICE and kind("<p>Please enable JavaScript to run this app.</p>") == NOTICE
+    assert kind('<p>We counted every "access denied" that our clerk met: 4 in one season.</p>') == ORDINARY
+
+
+def test_simhash():
+    hasher = SimHasher()
+    a, b, c, none = hasher([list("abcdefgh"), list("hgfedcba"), list("zyxwvuts"), []])
+    assert a == b != c and none == 0
+    assert hasher([["x"]])[0] == SimHasher()([["x"]])[0]
+
+
+def test_labels_spread_along_links(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "new"]), " ".join([*base[:-2], "newer", "new"]), "quite another text of the page"]
+    hashes = [int(h) for h in SimHasher()([t.split() for t in texts])]
+    units = spark.createDataFrame(list(zip(texts[1:], hashes[1:])), "text string, hash bigint")
+    trusted = spark.createDataFrame([(NOTICE, texts[0], hashes[0])], "kind tinyint, text string, hash bigint")
+    near = {t for t, h in zip(texts, hashes) if bin((h ^ hashes[0]) & (2**64 - 1)).count("1") <= 3} - {texts[0]}
+    got = {r.text for r in spread_labels(units, trusted).collect()}
+    assert near <= got and texts[3] not in got
+    assert spread_labels(units.limit(0), trusted.limit(0)).count() == 0
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, html string, blocks string")
+
+
+def test_page_queries(spark):
+    notice = "<h1>Access denied</h1><p>Go back to the homepage.</p>"
+    slot = "<h1>Story of the mill</h1><p>Every mill {{city}} keeps a ledger of grain that its millers weigh.</p>"
+    rows = [(k, h) for k, h in enumerate(PAGES)] + [(100, notice), (101, page(1, slot)), (102, None), (103, ""), (104, "<script>x</script>"), (0, PAGES[0]), (None, PAGES[1])]
+    pages = _frame(spark, rows)
+    bodies = written(page_bodies(pages, fit_model(pages), KEYS), "t")
+    residue = residue_pages(bodies)
+    assert sorted(r.page_id for r in residue.collect()) == [100, 101]
+    keys = main_body_keys(bodies, residue)
+    got = {r.block_key for r in keys.where("page_id = 3").collect()}
+    texts = ["Story 3 of the mill", "Every mill in town 3 keeps a ledger of grain that its millers weigh.", "The 3 bags stand beside the door, ready and dry.", "Nobody moved them before noon."]
+    assert got == {hashlib.md5(re.sub("[^a-z0-9]", "", t.lower()).encode()).hexdigest() for t in texts}
+    assert keys.count() == keys.distinct().count() and keys.where("page_id in (100, 101, 102, 103, 104)").count() == 0
+    empty = written(page_bodies(pages.limit(0), fit_model(pages.limit(0)), KEYS), "t")
+    assert residue_pages(empty).count() == 0 and main_body_keys(empty, residue_pages(empty)).count() == 0
