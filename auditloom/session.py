@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,7 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
@@ -32,10 +35,29 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     }
     spark = builder.config(map=conf | extra).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="auditloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(target)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
