@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 from auditloom.llm.blocks import Block
 
@@ -38,7 +38,9 @@ LATIN = frozenset(
     "ad adipiscing aliqua aliquam amet consectetur cupidatat dolor dolore eiusmod elit enim est et incididunt ipsum labore "
     "laborum lorem magna minim mollit nisi non nostrud nulla officia pariatur quis sed sit tempor ullamco ut velit veniam".split()
 )
-#: of these at least one must be there
+#: words that people type to fill a space
+MASHED = frozenset("foo bar baz qux quux asdf asdfgh sdfg qwer qwert qwerty zxcv hjkl blah bla yada test testing dummy xxx xyz abc".split())
+#: of the Latin words one or two of these must be there
 _LATIN_SURE = frozenset("lorem ipsum amet adipiscing consectetur dolor minim enim quis".split())
 FILLER_SENTENCES = re.compile(
     r"(?:your |add your (?:own )?)?(?:text|title|headline|content|copy) (?:goes )?here"
@@ -84,9 +86,10 @@ NOTICE_SENTENCES = re.compile(
     r"|(?:ein )?(?:unerwarteter |interner )?fehler ist aufgetreten|une erreur (?:interne |inattendue )?(?:est survenue|s.est produite)"
     r"|(?:se ha producido|ha ocurrido) un error\b.{0,40}|error interno\b.{0,40}|(?:server|request) (?:error|failed)"
     # blocked
-    r"|(?:403 )?(?:access (?:denied|forbidden)|forbidden|zugriff verweigert|accès refusé|acceso denegado)"
+    r"|(?:403 )?(?:access (?:denied|forbidden)|forbidden|zugriff verweigert|accès (?:refusé|interdit)|acceso (?:denegado|prohibido))"
     r"|you (?:do not|don't) have (?:the )?(?:permission|rights?) to\b.{0,60}|your (?:request|access|address|ip) (?:has been|was|is) (?:blocked|recorded|denied)\b.{0,60}"
     r"|we are (?:checking|verifying) (?:that|if|whether) you are\b.{0,60}|(?:verify|confirm|prove) (?:that )?you are (?:human|not a robot)\b.{0,40}"
+    r"|(?:this|your|the) account (?:has been|was|is) (?:suspended|disabled|deactivated|closed|blocked|terminated)\b.{0,60}"
     r"|your session has (?:expired|timed out|ended)\b.{0,60}"
     # closed
     rf"|(?:[\w-]+\.)+[a-z]+ is (?:down|closed|offline|unavailable)\b.{{0,60}}|{_THING} is (?:down|closed|offline|parked|suspended|under (?:construction|maintenance)|(?:temporarily )?unavailable)\b.{{0,60}}"
@@ -113,6 +116,9 @@ _DIGIT = re.compile(r"\d")
 _HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+_MASHED_STARTS = frozenset(w[:3] for w in MASHED)
+
+
 def has_placeholder(text: str) -> bool:
     """An unfilled slot. Syntaxes that are told by their capitals must have them."""
     if _MARKS.search(text) is None:
@@ -126,15 +132,25 @@ def has_placeholder(text: str) -> bool:
     return bool(_GUILLEMETS.search(text))
 
 
+def _is_mashed(text: str) -> bool:
+    """Three words or more, nearly all of them typed to fill a space."""
+    words = _WORD.findall(text.lower())
+    return len(words) >= 3 and sum(w in MASHED for w in words) >= 0.8 * len(words)
+
+
 def _is_latin(text: str) -> bool:
     low = text.lower()
     if not any([w in low for w in _LATIN_SURE]):
         return False
     words = _WORD.findall(low)
-    if len(words) < 4:
+    living = sum(w in _LIVING for w in words)
+    if len(words) < 4 or living > 0.05 * len(words):
         return False
     known = sum(w in LATIN for w in words)
-    return known >= 3 and known >= 0.25 * len(words) and sum(w in _LATIN_SURE for w in words) >= 2 and _foreign(words)
+    sure = sum(w in _LATIN_SURE for w in words)
+    if low.startswith("lorem ipsum"):
+        return True
+    return known >= 3 and known >= 0.25 * len(words) and sure >= (2 if living else 1)
 
 
 # --- fixed values: words that Latin filler never holds ---
@@ -142,10 +158,6 @@ _LIVING = frozenset("the and of to a in is with for der die das und ein le la le
 # ---------------------------------------------------------
 
 
-def _foreign(words: Sequence[str]) -> bool:
-    return sum(w in _LIVING for w in words) <= 0.05 * len(words)
-
-
 def _sentences(text: str) -> Iterator[str]:
     at = 0
     for hit in _SENTENCE_END.finditer(text):
@@ -161,7 +173,7 @@ def block_kind(block: Block) -> int:
     text = block.text
     if has_placeholder(text):
         return PLACEHOLDER
-    if _is_latin(text):
+    if _is_latin(text) or (text[:3].lower() in _MASHED_STARTS and _is_mashed(text)):
         return FILLER
     kinds = set()
     for sentence in _sentences(text):

@@ -80,6 +80,10 @@ def test_kinds_of_blocks():
         assert not has_placeholder(text), text
     assert kind("<pre><code>{{ name }}</code></pre>") == ORDINARY and kind("<p><code>{{ name }}</code></p>") == ORDINARY
     assert kind("<p>Lorem ipsum dolor sit amet, quis enim ad minim.</p>") == FILLER and kind("<p>Your text goes here. Replace it before launch.</p>") == FILLER
+    for text in ("Sed pulvis amet non ventus calor orbis.", "Lorem ipsum terra orbis mira ludum.", "qwer blah foo asdf test"):
+        assert kind(f"<p>{text}</p>") == FILLER, text
+    assert kind("<p>Une dolor de la main, non, et ad hoc.</p>") == ORDINARY
+    assert kind("<h1>Acceso prohibido</h1>") == kind("<p>This account has been suspended.</p>") == NOTICE
     assert kind("<p>Designers once filled brochures with lorem ipsum, and many of our leaflets show it.</p>") == ORDINARY
     assert kind("<h1>404 Not Found</h1>") == NOTICE and kind("<p>Please enable JavaScript to run this app.</p>") == NOTICE
     assert kind('<p>We counted every "access denied" that our clerk met: 4 in one season.</p>') == ORDINARY
