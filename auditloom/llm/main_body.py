@@ -117,6 +117,7 @@ class BodyFinder:
         self.blocks: dict[tuple, float] = {}
 
     def labels(self, blocks: Sequence[Block]) -> list[int]:
+        """Viterbi labels; where no block would be main body, the one with the highest score is."""
         scores: list[float] = []
         first, known_c, known_b = self.model.weights.get, self.containers, self.blocks
         for c, b, w in _page_keys(blocks):
@@ -131,7 +132,10 @@ class BodyFinder:
                     known_b.clear()
                 y = known_b[b] = self.model.score(_block_features(b))
             scores.append(x + y + first(f"first={w}", 0.0))
-        return self.model.decode(scores)
+        labels = self.model.decode(scores)
+        if scores and not any(labels):
+            labels[scores.index(max(scores))] = 1  # a page with text has a body; the likeliest block is it
+        return labels
 
     def main_blocks(self, html: str | None) -> list[Block]:
         """Blocks of the main body in document order; empty for null, empty and text-free pages."""
