@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -90,6 +91,11 @@ def leaf_blocks(html: str | None) -> list[Block]:
             elif name in CODE:
                 code = max(0, code - 1)
             if name in EDGES:
+                if stack[-1].name == name:
+                    flush()
+                    if len(stack) > 1:
+                        stack.pop()
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
                         flush()
@@ -143,6 +149,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
     return [Block(whole, o.name, o.path, o.names, a, n, o.block and not o.inner, o.ids, c) for whole, o, a, n, c in found]
 
 
+@lru_cache(maxsize=4096)
 def _names(attrs: str) -> tuple[str, ...]:
     """Words of class, id and role; parts that hold digits are generated and say nothing."""
     return tuple(w for a, b, c in _NAMED.findall(attrs) for w in _SPLIT.split((a or b or c).lower()) if w.isalpha())
