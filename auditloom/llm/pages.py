@@ -15,7 +15,6 @@ from auditloom.llm.crf import Chain
 from auditloom.llm.main_body import MAX_LABELLED_PAGES, BodyFinder, train
 from auditloom.llm.near_duplicates import Sketcher, sketch_columns, words_of
 from auditloom.llm.residue_text import block_kind, tokens
-from auditloom.llm.simhash import SimHasher
 
 #: Pages that Python holds at once, whatever the size of Arrow's batches.
 _SLICE = 256
@@ -25,8 +24,8 @@ BODY_SHINGLE = 3
 LEAST_KEY_CHARS = 12
 _NO_KEY = re.compile(r"[^a-z0-9]+")
 
-BLOCK_TYPE = "array<struct<kind:tinyint,hash:bigint,text:string>>"
-_BLOCKS = pa.list_(pa.struct([("kind", pa.int8()), ("hash", pa.int64()), ("text", pa.string())]))
+BLOCK_TYPE = "array<struct<kind:tinyint,text:string>>"
+_BLOCKS = pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())]))
 
 #: adds a column: its name, Spark type and Arrow type, and what makes, once for each task, the function that gives its values
 #: for the main blocks of the pages of a slice
@@ -45,14 +44,14 @@ def fit_model(pages: DataFrame, most: int = MAX_LABELLED_PAGES) -> Chain:
 
 
 def page_bodies(pages: DataFrame, model: Chain, extra: Extra | None = None, blocks: bool = True) -> DataFrame:
-    """page_id, blocks (kind, SimHash and text of each main block) and a column made by `extra`, for pages with html.
+    """page_id, blocks (kind and text of each main block) and a column made by `extra`, for pages with html.
 
     Pages without main body have an empty list. Copies of a row come out as often as they come in.
     """
     ddl = "page_id bigint" + (f", blocks {BLOCK_TYPE}" if blocks else "") + (f", {extra[0]} {extra[1]}" if extra else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, hasher = BodyFinder(model), SimHasher()
+        finder = BodyFinder(model)
         values = extra[3]() if extra else None
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
@@ -60,7 +59,7 @@ def page_bodies(pages: DataFrame, model: Chain, extra: Extra | None = None, bloc
                 bodies = [finder.main_blocks(html) for html in batch.column(1).to_pylist()]
                 columns, names = [batch.column(0)], ["page_id"]
                 if blocks:
-                    columns.append(_block_column(bodies, hasher))
+                    columns.append(_block_column(bodies))
                     names.append("blocks")
                 if extra:
                     columns.append(pa.array(values(bodies), extra[2]))
@@ -70,7 +69,7 @@ def page_bodies(pages: DataFrame, model: Chain, extra: Extra | None = None, bloc
     return with_html(pages).mapInArrow(run, ddl)
 
 
-def _block_column(bodies: list[list[Block]], hasher: SimHasher) -> pa.Array:
+def _block_column(bodies: list[list[Block]]) -> pa.Array:
     flat = [b for body in bodies for b in body]
     words = [tokens(b.text) for b in flat]
     offsets = [0]
@@ -78,7 +77,6 @@ def _block_column(bodies: list[list[Block]], hasher: SimHasher) -> pa.Array:
         offsets.append(offsets[-1] + len(body))
     fields = [
         pa.array([block_kind(b) for b in flat], pa.int8()),
-        pa.array(hasher(words), pa.int64()),
         pa.array([" ".join(w) for w in words], pa.string()),
     ]
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BLOCKS.value_type)))

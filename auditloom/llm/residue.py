@@ -1,9 +1,9 @@
 """Template residue and error-page text.
 
-Blocks that the rules of `residue_text` know are trusted residue.  Every other block of a main body is looked up in
-partitioned SimHash tables (64 bits in four parts: fingerprints at a distance of at most three share one part), candidates
-are verified by Hamming distance and by their words, and the trusted labels spread through the links, round by round, until
-a connected component holds no unlabelled block any more.
+Notices and filler that the rules of `residue_text` know are trusted residue.  Every other block of a main body is looked up
+in tables over words in which no pair at LEAST_SIMILARITY is lost, candidates are verified by their words, and the trusted
+labels spread through the links, round by round, until a connected component holds no unlabelled block any more.  SimHash
+tables would lose most pairs here: fingerprints of short blocks with one word of ten replaced differ in about nine bits.
 """
 
 from __future__ import annotations
@@ -14,42 +14,48 @@ from pyspark.sql import functions as F
 from auditloom.llm.residue_text import FILLER, NOTICE, ORDINARY, PLACEHOLDER
 from auditloom.session import written
 
-PARTS = 4
-PART_BITS = 64 // PARTS
-#: Most differing bits; below PARTS, so that the tables lose no pair.
-RADIUS = 3
 #: Least share of common words of two linked blocks.
 LEAST_SIMILARITY = 0.8
 #: Words of ordinary text up to which a page that shows a notice is that notice and nothing else.
 NOTICE_PROSE_WORDS = 40
 
 
-def _table_keys(fingerprint: Column) -> Column:
-    mask = (1 << PART_BITS) - 1
-    keys = [
-        F.shiftrightunsigned(fingerprint, k * PART_BITS).bitwiseAND(F.lit(mask)) + F.lit(k << PART_BITS) for k in range(PARTS)
-    ]
-    return F.array(*keys)
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(text, " "))
+
+
+def _table_keys(words: Column) -> Column:
+    """The words under which a block is entered: its longest, so many that every pair at LEAST_SIMILARITY has one in common.
+
+    Such a pair has at least that share of either side's words in common; in an order that is the same for all blocks, the
+    first common word is therefore preceded by at most the rest of each side. Long words come first since they are rare.
+    """
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    rest = F.size(words) - F.ceil(LEAST_SIMILARITY * F.size(words) - 1e-9)
+    return F.slice(ordered, F.lit(1), (rest + 1).cast("int"))["w"]
 
 
 def _alike(a: Column, b: Column) -> Column:
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    x, y = _words(a), _words(b)
     common = F.size(F.array_intersect(x, y))
     return common >= LEAST_SIMILARITY * (F.size(x) + F.size(y) - common)
 
 
 def spread_labels(units: DataFrame, trusted: DataFrame) -> DataFrame:
-    """kind, text and hash of the units that trusted ones reach through links. `units` are (hash, text)."""
-    known = written(trusted.groupBy("text", "hash").agg(F.max("kind").alias("kind")), "residue-trusted")
+    """kind and text of the units that trusted ones reach through links. `units` have text, `trusted` kind and text."""
+    known = written(trusted.groupBy("text").agg(F.max("kind").alias("kind")), "residue-trusted")
     frontier, found = known, known.limit(0)
-    probe = units.select("text", "hash", F.explode(_table_keys(F.col("hash"))).alias("key"))
+
+    def entered(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("words", _words(F.col("text")))
+        return sized.withColumn("n", F.size("words")).withColumn("key", F.explode(_table_keys(F.col("words")))).drop("words")
+
+    probe = entered(units.select("text"))
     while not frontier.isEmpty():
-        tables = frontier.select(
-            F.col("kind"), F.col("text").alias("t"), F.col("hash").alias("h"), F.explode(_table_keys(F.col("hash"))).alias("key")
-        )
-        close = F.bit_count(F.col("hash").bitwiseXOR(F.col("h"))) <= RADIUS
-        linked = probe.join(tables, "key").where(close & _alike(F.col("text"), F.col("t")))
-        new = linked.groupBy("text", "hash").agg(F.max("kind").alias("kind"))
+        tables = entered(frontier).select("kind", "key", F.col("text").alias("t"), F.col("n").alias("m"))
+        sizes = F.least("n", "m") >= LEAST_SIMILARITY * F.greatest("n", "m") - 1e-9
+        linked = probe.join(tables, "key").where(sizes).where(_alike(F.col("text"), F.col("t")))
+        new = linked.groupBy("text").agg(F.max("kind").alias("kind"))
         frontier = written(new.join(known.select("text"), "text", "left_anti"), "residue-spread")
         known, found = known.unionByName(frontier), found.unionByName(frontier)
     return found
@@ -63,8 +69,8 @@ def residue_pages(bodies: DataFrame) -> DataFrame:
     times, so it should be a written table.
     """
     units = bodies.select("page_id", F.inline("blocks"))
-    trusted = units.where(F.col("kind").isin(NOTICE, FILLER)).select("kind", "text", "hash")
-    plain = units.where(F.col("kind") < NOTICE).select("text", "hash")
+    trusted = units.where(F.col("kind").isin(NOTICE, FILLER)).select("kind", "text")
+    plain = units.where(F.col("kind") < NOTICE).select("text")
     spread = spread_labels(plain, trusted)
     kind = F.greatest("kind", F.coalesce("spread", "kind"))
     judged = units.where("kind < 3").join(spread.select("text", F.col("kind").alias("spread")), "text").select(

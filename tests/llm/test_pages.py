@@ -1,5 +1,6 @@
 import hashlib
 import re
+from random import Random
 
 from auditloom.llm.blocks import leaf_blocks
 from auditloom.llm.crf import Chain, fit
@@ -108,6 +109,37 @@ def test_labels_spread_along_links(spark):
     assert spread_labels(units.limit(0), trusted.limit(0)).count() == 0
 
 
+def test_labels_reach_every_pair_of_short_blocks(spark):
+    # blocks of 5 to 20 words, half of them made from trusted ones by replacing, dropping or adding up to three words
+    random = Random(6)
+    common = [f"a{k}" for k in range(12)]
+
+    def block(n):
+        return [random.choice(common) if random.random() < 0.3 else f"word{random.randrange(400)}" for _ in range(n)]
+
+    def changed(words):
+        words = list(words)
+        for k in range(random.randrange(1, 4)):
+            at = random.randrange(len(words))
+            words[at : at + random.randrange(2)] = [f"new{k}x{random.randrange(50)}"] * random.randrange(2)
+        return words
+
+    trusted = [block(n) for n in range(5, 21) for _ in range(6)]
+    plain = [block(5 + k % 16) for k in range(200)] + [changed(random.choice(trusted)) for _ in range(400)]
+    plain += [changed(w) for w in plain[200:]]
+    known = {" ".join(w) for w in trusted}
+    texts = {" ".join(w) for w in plain if w} - known
+    sets = {t: set(t.split()) for t in texts | known}
+    wanted, frontier = set(), known
+    while frontier:
+        frontier = {t for t in texts - wanted if any(len(sets[t] & sets[f]) >= 0.8 * len(sets[t] | sets[f]) for f in frontier)}
+        wanted |= frontier
+    hasher = SimHasher()
+    units = spark.createDataFrame([(t, int(hasher([t.split()])[0])) for t in sorted(texts)], "text string, hash bigint")
+    labels = spark.createDataFrame([(NOTICE, t, int(hasher([t.split()])[0])) for t in sorted(known)], "kind tinyint, text string, hash bigint")
+    assert len(wanted) > 100 and {r.text for r in spread_labels(units, labels).collect()} == wanted
+
+
 def _frame(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, html string, blocks string")
 
