@@ -44,6 +44,12 @@ def _pages(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "crawl_pages").dropDuplicates(["page_id"])
 
 
+def _page_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Scores of all pages: those crawled, clean ones too, and those that only findings name."""
+    crawled = table(spark, directory, "crawl_pages").select("audit_id", F.col("url").alias("page_url"))
+    return scoring.page_scores(_findings(spark, directory), crawled.where("audit_id is not null and page_url is not null"))
+
+
 def _parsed(spark: SparkSession, directory: str) -> DataFrame:
     return written(parsed_pages(_pages(spark, directory)), "parsed")
 
@@ -292,7 +298,8 @@ def technical_scan(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT * FROM o")
 def page_scores(spark: SparkSession, directory: str) -> DataFrame:
-    return scoring.page_scores(_findings(spark, directory))
+    """Scores of every page. The SQL leaves out the pages without findings, which score 100."""
+    return _page_scores(spark, directory)
 
 
 @query(f"""WITH {_SCORES}, a AS (SELECT audit_id, CAST(round(avg(technical_score)) AS INT) AS technical_score, CAST(round(avg(onpage_score)) AS INT) AS onpage_score,
@@ -300,7 +307,8 @@ def page_scores(spark: SparkSession, directory: str) -> DataFrame:
       sum(info_count) AS info_count, count(*) AS total_pages FROM o GROUP BY audit_id)
     SELECT *, CAST(round(round(0.4 * technical_score + 0.35 * onpage_score + 0.25 * content_score, 10)) AS INT) AS overall_score FROM a""")
 def audit_scores(spark: SparkSession, directory: str) -> DataFrame:
-    return scoring.audit_scores(scoring.page_scores(_findings(spark, directory)))
+    """Scores of every audit over all its pages. The SQL leaves out the pages without findings."""
+    return scoring.audit_scores(_page_scores(spark, directory))
 
 
 _LINKS = """SELECT audit_id, href AS page_url, count(*) AS inbound FROM (SELECT DISTINCT audit_id, page_id, unnest(discovered_links) AS href FROM crawl_pages)
@@ -456,7 +464,7 @@ def latest_reports(spark: SparkSession, directory: str) -> DataFrame:
     SELECT a.audit_id, issues, best, pages, coalesce(keywords, 0) AS keywords, coalesce(status = 'completed_with_warnings', false) AS has_warnings
     FROM a JOIN n USING (audit_id) JOIN pages USING (audit_id) LEFT JOIN k USING (audit_id)""")
 def report_contents(spark: SparkSession, directory: str) -> DataFrame:
-    """What the report of each audit holds."""
+    """What the report of each audit holds. The SQL leaves out pages without findings and audits without any finding."""
     made = _assembled(spark, directory)
     return made.select(
         "audit_id", F.size("issues").alias("issues"), F.get("issues", F.lit(0))["priority_score"].alias("best"),
@@ -466,7 +474,7 @@ def report_contents(spark: SparkSession, directory: str) -> DataFrame:
 
 def _assembled(spark: SparkSession, directory: str) -> DataFrame:
     findings = _findings(spark, directory)
-    scores = scoring.page_scores(findings)
+    scores = _page_scores(spark, directory)
     issues = scoring.issue_places(scoring.issue_rollup(findings, _degree(spark, directory)))
     words = report.keyword_list(keywords.keyword_map(table(spark, directory, "page_keywords")))
     audits = report.current_rows(table(spark, directory, "audits"), "audit_id", "updated_at")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from auditloom.operators import report, scoring
+from auditloom.plans import reference
 
 FINDING = "finding_id bigint, audit_id string, page_url string, category string, rule_id string, severity string, message string, created_at timestamp"
 
@@ -63,3 +64,23 @@ def test_versions(spark):
     rows = spark.createDataFrame([("A", 1, "x"), ("A", 3, "y"), ("B", None, "z")], "audit_id string, version int, share_token string")
     assert {tuple(r) for r in report.next_version(rows).collect()} == {("A", 4), ("B", 1)}
     assert {(r.audit_id, r.share_token) for r in report.latest_reports(rows).collect()} == {("A", "y"), ("B", "z")}
+
+
+def test_queries_score_clean_pages(spark, tmp_path):
+    # audit A has a clean page beside one with a finding, audit B no finding at all
+    tables = {
+        "audit_findings": _findings(spark, ("https://a.example/", "technical", "technical.status_4xx", "critical")),
+        "crawl_pages": spark.createDataFrame(
+            [(1, "A", "https://a.example/", []), (2, "A", "https://a.example/clean", []), (2, "A", "https://a.example/clean", []), (3, "B", "https://b.example/", [])],
+            "page_id bigint, audit_id string, url string, discovered_links array<string>",
+        ),
+        "page_keywords": spark.createDataFrame([], "audit_id string, page_url string, primary_keyword string"),
+        "audits": spark.createDataFrame([(a, "t", a, a, "completed", None, None) for a in "AB"], "audit_id string, tenant_id string, domain string, normalized_url string, status string, submitted_at timestamp, updated_at timestamp"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    at = str(tmp_path)
+    assert {(r.page_url, r.overall_score) for r in reference.page_scores(spark, at).collect()} == {("https://a.example/", 94), ("https://a.example/clean", 100), ("https://b.example/", 100)}
+    assert {(r.audit_id, r.technical_score, r.total_pages) for r in reference.audit_scores(spark, at).collect()} == {("A", 93, 2), ("B", 100, 1)}
+    assert {(r.audit_id, r.issues, r.pages) for r in reference.report_contents(spark, at).collect()} == {("A", 1, 2), ("B", 0, 1)}
+    assert {r.audit_id for r in reference.report_documents(spark, at).collect()} == {"A", "B"}
