@@ -31,7 +31,6 @@ Fetcher = Callable[[str], tuple[int, str, bytes]]
 @dataclass(frozen=True)
 class Limits:
     pages: int = 50
-    rounds: int = 20
     rate: float = 2.0  # requests a second and host
     most_rate: float = 5.0
     body_bytes: int = 10 * 1024 * 1024
@@ -163,20 +162,22 @@ def fetch_round(frontier: DataFrame, fetch: Fetcher, limits: Limits = Limits(),
 def next_frontier(pages: DataFrame, visited: DataFrame, limits: Limits) -> DataFrame:
     """Addresses that pages link to and no round has seen, so many that an audit's visited ones stay within its cap."""
     links = pages.select("audit_id", "tenant_id", F.explode("discovered_links").alias("url")).distinct()
-    new = links.join(visited.select("audit_id", "url"), ["audit_id", "url"], "left_anti")
-    counts = visited.groupBy("audit_id").agg(F.count("*").alias("seen"))
+    same = F.col("audit_id").eqNullSafe(F.col("a"))
+    new = links.join(visited.select(F.col("audit_id").alias("a"), F.col("url").alias("u")), same & (F.col("url") == F.col("u")), "left_anti")
+    counts = visited.groupBy(F.col("audit_id").alias("a")).agg(F.count("*").alias("seen"))
     place = F.row_number().over(Window.partitionBy("audit_id").orderBy("url"))
-    ranked = new.withColumn("place", place).join(counts, "audit_id", "left")
+    ranked = new.withColumn("place", place).join(counts, same, "left")
     return ranked.where(F.col("place") + F.coalesce("seen", F.lit(0)) <= limits.pages).select("audit_id", "tenant_id", "url")
 
 
 def crawl(seeds: DataFrame, fetch: Fetcher, limits: Limits = Limits(), wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """All pages that are reached from the seeds (audit_id, tenant_id, url), in breadth-first rounds."""
+    """All pages that are reached from the seeds (audit_id, tenant_id, url), in breadth-first rounds.
+
+    It ends when there is no new address; the cap of pages of each audit bounds the rounds.
+    """
     frontier = written(seeds.select("audit_id", "tenant_id", "url").distinct(), "crawl-frontier")
     visited, pages = frontier, None
-    for _ in range(limits.rounds):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         fetched = written(fetch_round(frontier, fetch, limits, wait), "crawl-pages")
         pages = fetched if pages is None else pages.unionByName(fetched)
         frontier = written(next_frontier(fetched, visited, limits), "crawl-frontier")

@@ -54,6 +54,17 @@ def test_crawl_rounds(spark):
     assert cr.crawl(seeds.limit(0), fetch).count() == 0
 
 
+def test_crawl_follows_a_long_chain(spark):
+    def chain(url):
+        k = int(url.rpartition("/p")[2]) if "/p" in url else 0
+        return 200, "text/html", f'<a href="/p{k + 1}">next</a>'.encode() if k < 23 else b"end"
+
+    seeds = spark.createDataFrame([(a, "t", "https://a.example") for a in ("A", None)], "audit_id string, tenant_id string, url string")
+    pages = cr.crawl(seeds, lambda url: (404, "", b"") if url.endswith("robots.txt") else chain(url), wait=lambda s: None)
+    urls = ["https://a.example", *(f"https://a.example/p{k}" for k in range(1, 24))]
+    assert sorted((r.audit_id or "", r.url) for r in pages.select("audit_id", "url").collect()) == sorted((a, u) for a in ("", "A") for u in urls)
+
+
 def test_snapshots_round_trip(spark, tmp_path):
     html = "<p>grüße</p>"
     pages = spark.createDataFrame([("A", "https://a.example/", html), ("A", "https://a.example/none", None)], "audit_id string, url string, html string")
