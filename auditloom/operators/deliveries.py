@@ -1,21 +1,26 @@
 """Messages delivered more than once: keep one delivery of each.
 
 Only a 16-byte identity, the delivery order and the row's place in its file are shuffled.  The rows to drop become one
-deletion vector for each file, and wide payloads are read past these vectors without being shuffled.
+deletion vector for each file.  Vectors are laid out by file; a task that reads a file's wide payloads reads that file's
+vector and skips its rows, so payloads are neither shuffled nor met by a broadcast, whatever the number of drops.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyarrow.dataset import dataset, field
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.ids import is_blank, stripped
-from auditloom.session import written
+from auditloom.session import write_scratch
 
-#: Dropped rows that one broadcast may hold; files are read in groups below it, so the broadcast doesn't grow with the data.
-MOST_BROADCAST_ROWS = 1_000_000
+#: Parts into which deletion vectors are laid out by file.
+VECTOR_PARTS = 256
 
 # --- fixed values: subjects and the id part that the producer builds for them ---
 SUBJECTS = {
@@ -69,38 +74,34 @@ def deletion_vectors(dropped: DataFrame) -> DataFrame:
     return dropped.groupBy("file").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
 
-def _file_groups(sizes: list[tuple[str, int]]) -> Iterator[list[str]]:
-    group: list[str] = []
-    held = 0
-    for path, n in sizes:
-        if group and held + n > MOST_BROADCAST_ROWS:
-            yield group
-            group, held = [], 0
-        group.append(path)
-        held += n
-    if group:
-        yield group
-
-
 def read_kept(spark: SparkSession, path: str, vectors: DataFrame) -> DataFrame:
-    """All columns of the rows that stay. Files are read in groups whose vectors fit one broadcast; nothing wide is shuffled."""
+    """All columns of the rows that stay. Nothing wide is shuffled; a task holds the vector of the file that it reads."""
     files = spark.read.parquet(path)
-    names = files.select(F.col("_metadata.file_path").alias("path")).distinct()
-    vectors = written(vectors, "deletion-vectors")
-    listed = (
-        names.select("path", F.xxhash64("path").alias("file"))
-        .join(vectors.select("file", F.size("rows").alias("n")), "file", "left")
-        .select("path", F.coalesce("n", F.lit(0)).alias("n"))
-        .orderBy("path")
-    )
-    sizes = [(r.path, r.n) for r in listed.collect()]  # one short row for each file
-    whole: DataFrame | None = None
-    for group in _file_groups(sizes):
-        scan = spark.read.schema(files.schema).parquet(*group)
-        marks = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-        rows = vectors.select(F.col("file").alias("__file"), F.explode("rows").alias("__row"))
-        ids = spark.createDataFrame([(p,) for p in group], "path string").select(F.xxhash64("path").alias("__file"))
-        skip = rows.join(F.broadcast(ids), "__file", "left_semi")
-        part = scan.select("*", *marks).join(F.broadcast(skip), ["__file", "__row"], "left_anti").drop("__file", "__row")
-        whole = part if whole is None else whole.unionByName(part)
-    return files if whole is None else whole
+    names, parts = files.columns, VECTOR_PARTS
+    placed = vectors.withColumn("part", F.pmod(F.col("file"), F.lit(parts))).repartition("part").sortWithinPartitions("part", "file")
+    place = write_scratch(placed, "deletion-vectors", ["part"])
+    held = spark.read.parquet(path).select(*names, F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            file, row = (batch.column(len(names) + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            keep = np.ones(batch.num_rows, bool)
+            for f in np.unique(file):
+                if f not in known:
+                    known = {f: _vector(place, int(f), parts)}  # a task reads one file after the other
+                mine = file == f
+                keep[mine] = ~np.isin(row[mine], known[f])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep))
+
+    return held.mapInArrow(run, files.schema)
+
+
+def _vector(place: str, file: int, parts: int) -> np.ndarray:
+    """Positions to skip in a file; none for a file without drops."""
+    system, root = FileSystem.from_uri(place if "://" in place else f"file://{place}")
+    folder = f"{root}/part={file % parts}"
+    if system.get_file_info(folder).type == FileType.NotFound:
+        return np.empty(0, np.int64)
+    rows = dataset(folder, filesystem=system, format="parquet").to_table(columns=["rows"], filter=field("file") == file)["rows"]
+    return rows.combine_chunks().flatten().to_numpy(zero_copy_only=False)

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditloom.operators.deliveries import deletion_vectors, dropped_rows, read_kept
-from auditloom.operators.orphans import Source, orphan_counts, orphan_records, parent_state
+from auditloom.operators.orphans import Source, orphan_counts, orphan_parts, orphan_records, parent_state
 from auditloom.session import table
 
 
-def p2_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Records whose audit is missing, deleted or was loaded later."""
+def _references(spark: SparkSession, directory: str) -> tuple[list[Source], DataFrame]:
     sources = [
         Source(name, table(spark, directory, name), record, "audit_id", at)
         for name, record, at in (
@@ -22,12 +21,17 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
         )
     ]
     audits = table(spark, directory, "audits")
-    return orphan_records(sources, parent_state(audits, "audit_id", "updated_at", "deleted_at", "loaded_at"))
+    return sources, parent_state(audits, "audit_id", "updated_at", "deleted_at", "loaded_at")
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Records whose audit is missing, deleted or was loaded later."""
+    return orphan_records(*_references(spark, directory))
 
 
 def p2_counts(spark: SparkSession, directory: str) -> DataFrame:
     """Orphans per table, month and reason."""
-    return orphan_counts(p2_found(spark, directory))
+    return orphan_counts(*orphan_parts(*_references(spark, directory)))
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:

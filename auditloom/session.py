@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +64,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's spark.checkpoint.dir; only where that is unset, one of this machine."""
+    """Shared folder for cut lineage: the cluster's spark.checkpoint.dir. Only a session on one machine may do without it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(?:\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = made = tempfile.mkdtemp(prefix="auditloom-")
@@ -75,13 +80,26 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the scratch folder, read back: later stages restart from files, not from lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
+
+
+def write_scratch(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
+    """Writes the frame into the scratch folder, laid out by the columns `by`; the table's path. It goes when Python ends."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
+    return path
 
 
-def _forget(path: str) -> None:
+def _forget(spark: SparkSession, path: str) -> None:
     local = path.removeprefix("file://")
     if os.path.isabs(local):
         shutil.rmtree(local, ignore_errors=True)
+        return
+    try:  # a shared store is reached through Spark, if that still runs
+        jvm, conf = spark._jvm, spark._jsparkSession.sparkContext().hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    except Exception:  # noqa: BLE001 - at exit there is nobody to tell
+        pass

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import deliveries, orphans
+from auditloom.operators import deliveries, hot, orphans
 from auditloom.operators.deliveries import deletion_vectors, dropped_rows, read_kept
-from auditloom.operators.orphans import Source, orphan_counts, orphan_records, parent_state
+from auditloom.operators.orphans import Source, orphan_counts, orphan_parts, orphan_records, parent_state
 
 T0 = dt.datetime(2025, 3, 1)
 PARENTS = "audit_id string, updated_at timestamp, deleted_at timestamp, loaded_at timestamp, record_id string"
@@ -46,10 +47,38 @@ def test_empty_tables(spark):
 
 
 def test_hot_keys_take_the_broadcast_path(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(hot, "LEAST_HOT", 10)
     refs = [(k, _uuid(9), T0, "k", 1) for k in range(50)] + [(100 + k, _uuid(k), T0, "k", 1) for k in range(8)]
+    refs += [(200 + k, _uuid(1), T0 + dt.timedelta(days=k - 40), "k", 1) for k in range(60)]  # heavy, late in part
     got = _orphans(spark, [(_uuid(k), T0, None, T0, "x") for k in range(4)], refs).collect()
-    assert sorted(r.record_id for r in got) == [*range(50), 104, 105, 106, 107]
+    assert sorted(r.record_id for r in got) == [*range(50), 104, 105, 106, 107, *range(200, 240)]
+
+
+def test_counts_of_both_parts_and_the_shuffle_path_agree_with_the_records(spark, monkeypatch):
+    monkeypatch.setattr(hot, "LEAST_HOT", 20)
+    rng = random.Random(5)
+    refs = [(k, _uuid(9 if rng.random() < 0.4 else rng.randrange(30)), T0 + dt.timedelta(days=rng.randrange(-60, 60)), "k", 1) for k in range(300)]
+    refs += refs[:40] + [(900, "junk", T0, "k", 1)]
+    parents = [(_uuid(k), T0, T0 if k % 5 == 0 else None, T0, "x") for k in range(0, 30, 2)]
+    state = parent_state(spark.createDataFrame(parents, PARENTS), "audit_id", "updated_at", "deleted_at", "loaded_at")
+    sources = [Source("refs", spark.createDataFrame(refs, REFS), "id", "audit_id", "at")]
+    wanted = {tuple(r) for r in orphan_records(sources, state).collect()}
+    assert len(wanted) > 200
+    counted = {tuple(r) for r in orphan_counts(*orphan_parts(sources, state)).collect()}
+    assert counted == {(*k, n) for k, n in Counter((t, p, r) for t, _, p, r in wanted).items()}
+    monkeypatch.setattr(orphans, "MOST_BROADCAST_GROUPS", 0)
+    assert {tuple(r) for r in orphan_records(sources, state).collect()} == wanted
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_split_join(spark, monkeypatch, how):
+    monkeypatch.setattr(hot, "LEAST_HOT", 10)
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 7}") for k in range(60)] + [(99, None)], "id int, k string")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    side = sizes.where("k != 'k1'").withColumn("v", F.lit(1))
+    assert [r.k for r in hot.hot_keys(sizes, "k").collect()] == ["hot"]
+    got = hot.split_join(rows, side, "k", hot.hot_keys(sizes, "k"), F.col("id"), how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(side, "k", how).select(got.columns).collect()))
 
 
 MESSAGES = "delivery_no bigint, subject string, msg_id string, audit_id string, payload string, received_at timestamp, file string, row bigint"
@@ -75,7 +104,7 @@ def test_identities(spark, tmp_path):
 
 
 def test_kept_rows_keep_all_columns(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(deliveries, "MOST_BROADCAST_ROWS", 5)  # several groups of files
+    monkeypatch.setattr(deliveries, "VECTOR_PARTS", 2)
     rng = random.Random(3)
     rows = [(k, S[0], f"m{min(rng.randrange(12), 4)}", "A", "x" * rng.randrange(50), T0 + dt.timedelta(seconds=rng.randrange(5)), "f", k) for k in range(60)]
     path = tmp_path / "m"
