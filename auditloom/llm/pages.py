@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from auditloom.llm.blocks import Block
 from auditloom.llm.crf import Chain
 from auditloom.llm.main_body import MAX_LABELLED_PAGES, BodyFinder, train
 from auditloom.llm.near_duplicates import Sketcher, sketch_columns, words_of
-from auditloom.llm.residue_text import block_kind, tokens
+from auditloom.llm.residue_text import block_kind, masked_words
+from auditloom.llm.simhash import SimHasher
 
 #: Pages that Python holds at once, whatever the size of Arrow's batches.
 _SLICE = 256
@@ -24,8 +26,8 @@ BODY_SHINGLE = 3
 LEAST_KEY_CHARS = 12
 _NO_KEY = re.compile(r"[^a-z0-9]+")
 
-BLOCK_TYPE = "array<struct<kind:tinyint,text:string>>"
-_BLOCKS = pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())]))
+BLOCK_TYPE = "array<struct<kind:tinyint,words:int,n:int,m0:bigint,m1:bigint,m2:bigint,m3:bigint,text:string>>"
+_BLOCK = [("kind", pa.int8()), ("words", pa.int32()), ("n", pa.int32()), *[(f"m{k}", pa.int64()) for k in range(4)], ("text", pa.string())]
 
 #: adds a column: its name, Spark type and Arrow type, and what makes, once for each task, the function that gives its values
 #: for the main blocks of the pages of a slice
@@ -33,8 +35,8 @@ Extra = tuple[str, str, pa.DataType, Callable[[], Callable[[list[list[Block]]],
 
 
 def with_html(pages: DataFrame) -> DataFrame:
-    """page_id and html of the pages that have any; copies of a row are still in it."""
-    return pages.select("page_id", "html").where("page_id is not null and html is not null and html != ''")
+    """page_id, status_code and html of the pages that have any; copies of a row are still in it."""
+    return pages.select("page_id", "status_code", "html").where("page_id is not null and html is not null and html != ''")
 
 
 def fit_model(pages: DataFrame, most: int = MAX_LABELLED_PAGES) -> Chain:
@@ -44,22 +46,22 @@ def fit_model(pages: DataFrame, most: int = MAX_LABELLED_PAGES) -> Chain:
 
 
 def page_bodies(pages: DataFrame, model: Chain, extra: Extra | None = None, blocks: bool = True) -> DataFrame:
-    """page_id, blocks (kind and text of each main block) and a column made by `extra`, for pages with html.
+    """page_id, status_code, blocks (each main block as `residue` needs it) and a column made by `extra`, for pages with html.
 
     Pages without main body have an empty list. Copies of a row come out as often as they come in.
     """
-    ddl = "page_id bigint" + (f", blocks {BLOCK_TYPE}" if blocks else "") + (f", {extra[0]} {extra[1]}" if extra else "")
+    ddl = "page_id bigint, status_code int" + (f", blocks {BLOCK_TYPE}" if blocks else "") + (f", {extra[0]} {extra[1]}" if extra else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = BodyFinder(model)
+        finder, hasher = BodyFinder(model), SimHasher()
         values = extra[3]() if extra else None
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 batch = whole.slice(at, _SLICE)
-                bodies = [finder.main_blocks(html) for html in batch.column(1).to_pylist()]
-                columns, names = [batch.column(0)], ["page_id"]
+                bodies = [finder.main_blocks(html) for html in batch.column(2).to_pylist()]
+                columns, names = [batch.column(0), batch.column(1)], ["page_id", "status_code"]
                 if blocks:
-                    columns.append(_block_column(bodies))
+                    columns.append(_block_column(bodies, hasher))
                     names.append("blocks")
                 if extra:
                     columns.append(pa.array(values(bodies), extra[2]))
@@ -69,17 +71,20 @@ def page_bodies(pages: DataFrame, model: Chain, extra: Extra | None = None, bloc
     return with_html(pages).mapInArrow(run, ddl)
 
 
-def _block_column(bodies: list[list[Block]]) -> pa.Array:
+def _block_column(bodies: list[list[Block]], hasher: SimHasher) -> pa.Array:
     flat = [b for body in bodies for b in body]
-    words = [tokens(b.text) for b in flat]
+    words = [masked_words(b.text) for b in flat]
+    distinct = [set(w) for w in words]
+    marks = hasher(distinct)
+    silent = np.array([b.code or not d - {"0"} for b, d in zip(flat, distinct)], bool)
     offsets = [0]
     for body in bodies:
         offsets.append(offsets[-1] + len(body))
-    fields = [
-        pa.array([block_kind(b) for b in flat], pa.int8()),
-        pa.array([" ".join(w) for w in words], pa.string()),
-    ]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BLOCKS.value_type)))
+    values = [[block_kind(b) for b in flat], [len(w) for w in words], [len(d) for d in distinct]]
+    arrays = [pa.array(v, kind) for v, (_, kind) in zip(values, _BLOCK)]
+    arrays += [pa.array(marks[:, k], pa.int64(), mask=silent) for k in range(4)]
+    arrays.append(pa.array([" ".join(w) for w in words], pa.string()))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=[pa.field(*f) for f in _BLOCK]))
 
 
 def block_keys(bodies: list[list[Block]]) -> list[list[bytes]]:

@@ -1,13 +1,16 @@
-"""What a block of text says about residue: placeholders, filler, notices, or ordinary content."""
+"""What a block of text says about residue by itself, and the texts that are trusted to be residue.
+
+By themselves blocks show unfilled placeholders (by their syntax) and random filler (by its vocabulary).  Everything else is
+told by nearness to trusted texts, which `residue` looks for; the few below are only the beginning.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
+from itertools import product
 from auditloom.llm.blocks import Block
 
-ORDINARY, HEADING, ASIDE, NOTICE, FILLER, PLACEHOLDER = 0, 1, 2, 3, 4, 5
+ORDINARY, NOTICE, FILLER, PLACEHOLDER = 0, 1, 2, 3
 
 # --- fixed values: placeholder syntaxes of template languages and mail merges --------------------------------------------
 _NAME = r"[A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,3}"
@@ -33,89 +36,42 @@ _SLOTS = (
     r"page[._ ]\w+|phone|price|product(?:[._ ]\w+)?|site(?:[._ ]\w+)?|title|text)"
 )
 _GUILLEMETS = re.compile(r"«\s?" + _SLOTS + r"\s?»", re.I)
-# --- fixed values: filler ------------------------------------------------------------------------------------------------
+# --- fixed values: vocabulary of random filler ----------------------------------------------------------------------------
 LATIN = frozenset(
     "ad adipiscing aliqua aliquam amet consectetur cupidatat dolor dolore eiusmod elit enim est et incididunt ipsum labore "
     "laborum lorem magna minim mollit nisi non nostrud nulla officia pariatur quis sed sit tempor ullamco ut velit veniam".split()
 )
-#: words that people type to fill a space
-MASHED = frozenset("foo bar baz qux quux asdf asdfgh sdfg qwer qwert qwerty zxcv hjkl blah bla yada test testing dummy xxx xyz abc".split())
 #: of the Latin words one or two of these must be there
 _LATIN_SURE = frozenset("lorem ipsum amet adipiscing consectetur dolor minim enim quis".split())
-FILLER_SENTENCES = re.compile(
-    r"(?:your |add your (?:own )?)?(?:text|title|headline|content|copy) (?:goes )?here"
-    r"|title goes here|add your (?:own )?(?:text|content) here|(?:type|write|enter|paste) your (?:paragraph|text|content)(?: here)?"
-    r"|(?:double[- ])?click (?:here )?to (?:edit|change)(?: this| the)?(?: text| font| title)?"
-    r"|tell (?:visitors|people|customers|the world) about your(?:self| business| company)"
-    r"|sample (?:paragraph|text|title|page)(?: \d+)?"
-    r"|this is (?:some )?(?:dummy|sample|placeholder|filler) (?:copy|text|content)\b.{0,60}"
-    r"|(?:dummy|placeholder|sample) (?:copy|text)(?: \d+)?|replace (?:it|this|me)(?: text)? before (?:launch|publishing)"
-    r"|(?:hier steht )?(?:ein |der )?(?:blindtext|platzhaltertext|beispieltext)\b.{0,60}"
-    r"|(?:ceci est (?:un )?)?(?:faux texte|texte (?:provisoire|d.exemple|de remplissage))\b.{0,60}"
-    r"|(?:este es (?:un )?)?texto (?:de ejemplo|de relleno|provisional|simulado)\b.{0,60}"
-    r"|(?:x{3,}[\s.]+){2,}(?:x{3,}|tbd|todo|text follows|text to follow|tk)?|(?:tbd|todo|tk)",
-    re.I,
-)
-# --- fixed values: notices; (?P<...>) would say nothing, the families are listed in order -----------------------------------
-_THING = r"(?:this |the |our |your )?(?:page|site|shop|store|app|application|web ?site|content|resource|document|domain|service|server|url|address)"
-_SCRIPTS = r"(?:java ?scripts?|scripts?|scripting|a browser with (?:scripts?|scripting))(?: and cookies)?"
-NOTICE_SENTENCES = re.compile(
-    # scripts
-    rf"(?:please |you (?:need|have) to |you must )?(?:enable|activate|turn on|switch on|allow) {_SCRIPTS}(?: (?:in|on) your browser)?"
-    r"(?: (?:to|for|and|in order to)\b.{0,60})?"
-    rf"|{_THING} (?:requires|relies on|needs|works only with|only works with|does not work without|depends on) {_SCRIPTS}(?: to\b.{{0,40}})?"
-    rf"|(?:your browser does not support {_SCRIPTS}|{_SCRIPTS} (?:is|are) (?:disabled|switched off|turned off|needed|required))\b.{{0,60}}"
-    r"|(?:scripts?|java ?script) and cookies (?:must|have to|need to) be (?:on|enabled)"
-    r"|(?:loading|lade|chargement|cargando)(?: [\w.-]+)?|(?:please wait|just a moment|one moment|un instant|bitte warten|un momento|espere)"
-    r"|bitte (?:aktivieren|schalten) sie (?:java ?script|skripte)\b.{0,60}|veuillez activer (?:le )?java ?script\b.{0,60}"
-    r"|(?:active|habilite|por favor,? active) (?:el )?java ?script\b.{0,60}"
-    # missing
-    r"|(?:error |http )?(?:40[0-9]|410|429|50[0-9])(?: (?:error|not found|forbidden|gone|unauthorized|bad request|gateway time-?out|bad gateway"
-    r"|internal server error|service (?:temporarily )?unavailable|too many requests|access denied))?"
-    r"|(?:oops|sorry|ups|whoops)|(?:(?:oops|sorry)[,!]? )?(?:the )?page (?:was |could |can ?)?not (?:be )?found"
-    r"|(?:(?:oops|sorry)[,!]? )?we (?:cannot|can ?not|can't|could not|couldn't|are unable to|were unable to) (?:find|locate) .{0,60}"
-    rf"|{_THING}(?: you requested)? (?:\S+ )?(?:does not exist|no longer exists|was not found|could not be found|is not available|is no longer available|was removed|has been removed)\b.{{0,50}}"
-    r"|(?:the )?requested (?:url|page|resource) \S{0,200} ?(?:was|could) not (?:be )?found\b.{0,40}|not found"
-    r"|(?:diese )?seite (?:wurde )?nicht (?:gefunden|verfügbar)|page introuvable|(?:la )?página (?:solicitada )?no (?:existe|encontrada)"
-    r"|contenu supprimé\b.{0,60}|inhalt (?:wurde )?(?:entfernt|gelöscht)\b.{0,60}|contenido eliminado\b.{0,60}"
-    # failures
-    r"|(?:\d{3} )?(?:bad gateway|gateway time-?out|internal server error|service (?:temporarily )?unavailable|bad request|too many requests)"
-    r"|(?:unhandled|uncaught) (?:exception|error)\b.{0,120}|fatal error\b.{0,120}|error establishing a (?:connection|database connection)\b.{0,60}"
-    r"|(?:the )?(?:upstream|origin|backend)(?: server)? (?:returned|sent|gave)\b.{0,60}|(?:the )?connection to the (?:origin|server|host|database)\b.{0,60}"
-    r"|(?:something|an? (?:unexpected )?error) (?:went wrong|(?:has )?occurred|happened)\b.{0,60}"
-    r"|(?:ein )?(?:unerwarteter |interner )?fehler ist aufgetreten|une erreur (?:interne |inattendue )?(?:est survenue|s.est produite)"
-    r"|(?:se ha producido|ha ocurrido) un error\b.{0,40}|error interno\b.{0,40}|(?:server|request) (?:error|failed)"
-    # blocked
-    r"|(?:403 )?(?:access (?:denied|forbidden)|forbidden|zugriff verweigert|accès (?:refusé|interdit)|acceso (?:denegado|prohibido))"
-    r"|you (?:do not|don't) have (?:the )?(?:permission|rights?) to\b.{0,60}|your (?:request|access|address|ip) (?:has been|was|is) (?:blocked|recorded|denied)\b.{0,60}"
-    r"|we are (?:checking|verifying) (?:that|if|whether) you are\b.{0,60}|(?:verify|confirm|prove) (?:that )?you are (?:human|not a robot)\b.{0,40}"
-    r"|(?:this|your|the) account (?:has been|was|is) (?:suspended|disabled|deactivated|closed|blocked|terminated)\b.{0,60}"
-    r"|your session has (?:expired|timed out|ended)\b.{0,60}"
-    # closed
-    rf"|(?:[\w-]+\.)+[a-z]+ is (?:down|closed|offline|unavailable)\b.{{0,60}}|{_THING} is (?:down|closed|offline|parked|suspended|under (?:construction|maintenance)|(?:temporarily )?unavailable)\b.{{0,60}}"
-    rf"|{_THING} has (?:reached|exceeded)\b.{{0,60}}|(?:scheduled )?(?:maintenance|wartungsarbeiten|en maintenance|en mantenimiento)\b.{{0,60}}"
-    r"|we(?: will|'ll| are)? ?be back (?:shortly|soon)",
-    re.I,
-)
-#: sentences that go with a notice and say nothing by themselves
-ASIDE_SENTENCES = re.compile(
-    r"(?:nginx|apache|iis|caddy|edge|server|cloud\w*)(?:[/-][\w.]+)*|(?:request id|trace|ray id|incident|reference|error code)[:#]? [\w-]+"
-    r"|(?:it|the page) may have been (?:moved|renamed|removed|deleted)\b.{0,60}|check the (?:address|url|spelling)\b.{0,60}"
-    r"|use the (?:search|menu|navigation)\b.{0,40}|(?:go |return |take me )?(?:back )?to (?:the )?(?:home ?page|start(?: page)?)|zur startseite"
-    r"|retour à l.accueil|volver al inicio|ir al inicio|(?:please )?(?:try|retry)(?: again)?(?: after| in| later| another address)?\b.{0,40}"
-    r"|(?:contact|ask) (?:support|us|your hosting provider|the (?:owner|administrator|webmaster))\b.{0,60}|our team has been (?:informed|notified)"
-    r"|slow down|bitte später erneut versuchen|réessayez\b.{0,40}|inténtelo\b.{0,40}|new page|untitled(?: document| page)?|headline|\W+",
-    re.I,
+#: words that Latin filler never holds
+_LIVING = frozenset("the and of to a in is with for der die das und ein le la les des une el los las una".split())
+#: words that people type to fill a space
+MASHED = frozenset("foo bar baz qux quux asdf asdfgh sdfg qwer qwert qwerty zxcv hjkl blah bla yada test testing dummy xxx xyz abc tbd todo".split())
+# --- fixed values: texts that are trusted to be notices or filler. Servers send notices about scripts with status 200, so
+# --- these are given as first part x second part; a filler text may have a second sentence ---------------------------------
+NOTICES = (
+    "Your browser does not support scripts", "404 Not Found", "Page not found", "403 Forbidden", "Access denied",
+    "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Time-out", "Loading", "Please wait",
+)
+SCRIPT_NOTICES = (
+    ("Please enable JavaScript", "You need to enable JavaScript", "Activate JavaScript", "Turn on JavaScript"),
+    ("to run this app", "to view this page", "to continue", "in your browser and reload"),
+    ("This site requires", "This site relies on", "This site works only with"),
+    ("JavaScript", "JavaScript and cookies", "a browser with scripting"),
 )
-# ---------------------------------------------------------------------------------------------------------------------------
+FILLERS = (
+    "Your text goes here", "Title goes here", "Add your own text here", "Click to edit this text", "Type your paragraph here",
+    "Sample paragraph 1. This is dummy copy", "Sample paragraph 1. This is dummy copy, swap it out later", "xxx text follows", "Hier steht ein Blindtext, der später ersetzt wird",
+    "Platzhaltertext: bitte Inhalt einfügen", "Texte provisoire à remplacer avant la mise en ligne",
+    "Texto de ejemplo, sustituir antes de publicar",
+)
+FILLER_ENDS = ("", "Replace it before launch", "Double click to change the font", "Tell visitors about your business")
+# ----------------------------------------------------------------------------------------------------------------------------
 
-_SENTENCE_END = re.compile(r"[.!?…]+(?=\s)|(?<=\s)[–—](?=\s)")
 _EDGES = " \t.,;:!?…'\"„“”‘’()<>|*·•-–—"
-_WORD = re.compile(r"[^\W\d_]+")
-_DIGIT = re.compile(r"\d")
-_HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-
-
+_LETTERS = re.compile(r"[^\W\d_]+")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_ERROR_CODE = re.compile(r"[45]\d\d")
 _MASHED_STARTS = frozenset(w[:3] for w in MASHED)
 
 
@@ -134,7 +90,7 @@ def has_placeholder(text: str) -> bool:
 
 def _is_mashed(text: str) -> bool:
     """Three words or more, nearly all of them typed to fill a space."""
-    words = _WORD.findall(text.lower())
+    words = _LETTERS.findall(text.lower())
     return len(words) >= 3 and sum(w in MASHED for w in words) >= 0.8 * len(words)
 
 
@@ -142,7 +98,7 @@ def _is_latin(text: str) -> bool:
     low = text.lower()
     if not any([w in low for w in _LATIN_SURE]):
         return False
-    words = _WORD.findall(low)
+    words = _LETTERS.findall(low)
     living = sum(w in _LIVING for w in words)
     if len(words) < 4 or living > 0.05 * len(words):
         return False
@@ -153,21 +109,8 @@ def _is_latin(text: str) -> bool:
     return known >= 3 and known >= 0.25 * len(words) and sure >= (2 if living else 1)
 
 
-# --- fixed values: words that Latin filler never holds ---
-_LIVING = frozenset("the and of to a in is with for der die das und ein le la les des une el los las una".split())
-# ---------------------------------------------------------
-
-
-def _sentences(text: str) -> Iterator[str]:
-    at = 0
-    for hit in _SENTENCE_END.finditer(text):
-        yield text[at : hit.start()]
-        at = hit.end()
-    yield text[at:]
-
-
 def block_kind(block: Block) -> int:
-    """Kind of one block of a main body. Code is never residue; a block is a notice or filler only if all its sentences are."""
+    """Kind of one block of a main body, by itself. Code is never residue."""
     if block.code:
         return ORDINARY
     text = block.text
@@ -175,25 +118,26 @@ def block_kind(block: Block) -> int:
         return PLACEHOLDER
     if _is_latin(text) or (text[:3].lower() in _MASHED_STARTS and _is_mashed(text)):
         return FILLER
-    kinds = set()
-    for sentence in _sentences(text):
-        core = sentence.strip(_EDGES)
-        if not core:
-            kinds.add(ASIDE)
-        elif FILLER_SENTENCES.fullmatch(core):
-            kinds.add(FILLER)
-        elif NOTICE_SENTENCES.fullmatch(core):
-            kinds.add(NOTICE)
-        elif ASIDE_SENTENCES.fullmatch(core):
-            kinds.add(ASIDE)
-        else:
-            return HEADING if block.tag in _HEADING_TAGS else ORDINARY
-    for kind in (FILLER, NOTICE, ASIDE):
-        if kind in kinds:
-            return kind
-    return ASIDE
-
-
-def tokens(text: str) -> list[str]:
-    """Words under which near-duplicates are looked for: lower case, those with a digit masked."""
-    return [w if w.isalpha() or not _DIGIT.search(w) else "0" for w in text.lower().split()]
+    return ORDINARY
+
+
+def masked_words(text: str) -> list[str]:
+    """Words in lower case without marks around them; what is no word (addresses, numbers but error codes, ids) is 0."""
+    found = []
+    for w in text.lower().split():
+        if not w.isalpha():
+            w = w.strip(_EDGES)
+            if not w:
+                continue
+            if not w.isalpha() and not _PLAIN.fullmatch(w) and not _ERROR_CODE.fullmatch(w):
+                w = "0"
+        found.append(w)
+    return found
+
+
+def trusted_texts() -> list[tuple[int, str]]:
+    """Kind and text of the texts that are trusted from the start."""
+    ask, wish, need, what = SCRIPT_NOTICES
+    scripts = [f"{a} {b}" for a, b in [*product(ask, wish), *product(need, what)]]
+    fillers = [f"{a}. {b}" for a, b in product(FILLERS, FILLER_ENDS)]
+    return [(NOTICE, t) for t in (*NOTICES, *scripts)] + [(FILLER, t) for t in fillers]

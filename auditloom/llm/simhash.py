@@ -1,18 +1,30 @@
-"""SimHash of token lists, many at a time."""
+"""SimHash fingerprints of sets of words, many at a time, and the keys under which near ones meet.
+
+A fingerprint has 256 bits, kept as four 64-bit integers: bit k says on which side of the k-th random plane the sum of the
+words' sign vectors lies, so two fingerprints differ in about angle / pi of their bits.  It is partitioned into 16 parts of
+16 bits.  One side enters a table for each part under its part as it is, the other under all values that differ from its
+part in at most 2 bits; a pair meets if any of its 16 parts differs in so few.  Pairs with a cosine of 0.8 (which differ in a fifth of the bits) are
+missed in about 2 of 1000 cases, with 0.85 in fewer than 1 of 10,000.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-BITS = 64
-_WEIGHTS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+BITS, WORDS, PART_BITS, FLIPPED = 256, 4, 16, 2
+#: All changes of at most FLIPPED bits of a part.
+FLIPS = [sum(1 << k for k in ks) for n in range(FLIPPED + 1) for ks in combinations(range(PART_BITS), n)]
+_WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 class SimHasher:
-    """64-bit fingerprints. Signs of known words are kept; the store starts anew when it gets large."""
+    """Fingerprints. Signs of known words are kept; the store starts anew when it gets large."""
 
     MOST_WORDS = 200_000
 
@@ -24,14 +36,15 @@ class SimHasher:
         k = len(self._index)
         if k == len(self._signs):
             self._signs = np.concatenate([self._signs, np.empty_like(self._signs)])
-        bits = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(word), np.uint8))
+        half = xxhash.xxh128_digest(word)
+        bits = np.unpackbits(np.frombuffer(half + xxhash.xxh128_digest(word, 1), np.uint8))
         self._signs[k] = bits.astype(np.int8) * 2 - 1
         self._index[word] = k
         return k
 
-    def __call__(self, lists: Sequence[Sequence[str]]) -> np.ndarray:
-        """One signed 64-bit fingerprint for each list of words; 0 for an empty list."""
-        out = np.zeros(len(lists), np.int64)
+    def __call__(self, sets: Sequence[Sequence[str]]) -> np.ndarray:
+        """A row of four signed 64-bit integers for each set of words; zeros for an empty one."""
+        out = np.zeros((len(sets), WORDS), np.int64)
         if len(self._index) > self.MOST_WORDS:
             self._index.clear()
         index, make = self._index, self._of
@@ -42,17 +55,41 @@ class SimHasher:
         def emit() -> None:
             if not rows:
                 return
-            sums = np.add.reduceat(self._signs[rows], starts, axis=0, dtype=np.int32)
-            out[filled] = ((sums > 0) * _WEIGHTS).sum(1, dtype=np.uint64).view(np.int64)
+            # sums of signs fit 16 bits unless a text has more distinct words than that
+            wide = np.int16 if len(rows) < 30_000 else np.int32
+            above = np.add.reduceat(self._signs[rows], starts, axis=0, dtype=wide) > 0
+            out[filled] = (above.reshape(-1, WORDS, 64) * _WEIGHTS).sum(2, dtype=np.uint64).view(np.int64)
             rows.clear(), starts.clear(), filled.clear()
 
-        for k, words in enumerate(lists):
+        for k, words in enumerate(sets):
             if not words:
                 continue
             starts.append(len(rows))
             filled.append(k)
             rows += [index[w] if w in index else make(w) for w in words]
-            if len(rows) > 100_000:
+            if len(rows) > 20_000:
                 emit()
         emit()
         return out
+
+
+def table_keys(mark: Sequence[Column]) -> list[Column]:
+    """The parts of a fingerprint (its four integers), each with the number of its table."""
+    per = 64 // PART_BITS
+    return [
+        F.shiftright(word, PART_BITS * k).bitwiseAND(F.lit(2**PART_BITS - 1)).cast("int") + F.lit((at * per + k) << PART_BITS)
+        for at, word in enumerate(mark)
+        for k in range(per)
+    ]
+
+
+def near_keys(mark: Sequence[Column]) -> Column:
+    """Array of all keys under which a fingerprint is entered: its parts with at most FLIPPED bits changed."""
+    flips = F.array(*[F.lit(x) for x in FLIPS])
+    return F.flatten(F.transform(F.array(*table_keys(mark)), lambda key: F.transform(flips, lambda x: key.bitwiseXOR(x))))
+
+
+def hamming(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """Differing bits of two fingerprints."""
+    differing = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
+    return sum(differing[1:], differing[0])

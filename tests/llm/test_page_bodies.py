@@ -6,8 +6,9 @@ from auditloom.llm.blocks import leaf_blocks
 from auditloom.llm.crf import Chain, fit
 from auditloom.llm.main_body import BodyFinder, label_page, page_features, train
 from auditloom.llm.pages import KEYS, fit_model, main_body_keys, page_bodies
+from auditloom.llm import residue
 from auditloom.llm.residue import residue_pages, spread_labels
-from auditloom.llm.residue_text import FILLER, NOTICE, ORDINARY, PLACEHOLDER, block_kind, has_placeholder
+from auditloom.llm.residue_text import FILLER, NOTICE, ORDINARY, PLACEHOLDER, block_kind, has_placeholder, masked_words, trusted_texts
 from auditloom.llm.simhash import SimHasher
 from auditloom.session import written
 
@@ -80,36 +81,38 @@ def test_kinds_of_blocks():
     for text in ("The price is $40 for the set {red, blue}.", "[sic] and [translated]", "Costs 5% or 10% [1]", "a_b__c", "today every price shows $ and % side by side", "«rue»"):
         assert not has_placeholder(text), text
     assert kind("<pre><code>{{ name }}</code></pre>") == ORDINARY and kind("<p><code>{{ name }}</code></p>") == ORDINARY
-    assert kind("<p>Lorem ipsum dolor sit amet, quis enim ad minim.</p>") == FILLER and kind("<p>Your text goes here. Replace it before launch.</p>") == FILLER
-    for text in ("Sed pulvis amet non ventus calor orbis.", "Lorem ipsum terra orbis mira ludum.", "qwer blah foo asdf test"):
+    assert kind("<p>Lorem ipsum dolor sit amet, quis enim ad minim.</p>") == FILLER
+    for text in ("Sed pulvis amet non ventus calor orbis.", "Lorem ipsum terra orbis mira ludum.", "qwer blah foo asdf test", "xxx xxx xxx tbd"):
         assert kind(f"<p>{text}</p>") == FILLER, text
     assert kind("<p>Une dolor de la main, non, et ad hoc.</p>") == ORDINARY
-    assert kind("<h1>Acceso prohibido</h1>") == kind("<p>This account has been suspended.</p>") == NOTICE
     assert kind("<p>Designers once filled brochures with lorem ipsum, and many of our leaflets show it.</p>") == ORDINARY
-    assert kind("<h1>404 Not Found</h1>") == NOTICE and kind("<p>Please enable JavaScript to run this app.</p>") == NOTICE
-    assert kind('<p>We counted every "access denied" that our clerk met: 4 in one season.</p>') == ORDINARY
+    assert masked_words("GET /a/b.html (HTTP 404): it's 12:30, id x9-f!") == ["get", "0", "http", "404", "it's", "0", "id", "0"]
+    assert masked_words(" — ... ") == []
 
 
 def test_simhash():
     hasher = SimHasher()
-    a, b, c, none = hasher([list("abcdefgh"), list("hgfedcba"), list("zyxwvuts"), []])
-    assert a == b != c and none == 0
-    assert hasher([["x"]])[0] == SimHasher()([["x"]])[0]
+    a, b, c, none = hasher([list("abcdefgh"), list("hgfedcba"), list("zyxwvuts"), []]).tolist()
+    assert a == b != c and none == [0] * 4
+    assert hasher([["x"]]).tolist() == SimHasher()([["x"]]).tolist()
+    many = [[f"w{k}x{j}" for j in range(900)] for k in range(40)]  # several flushes
+    assert hasher(many).tolist() == [SimHasher()([w]).tolist()[0] for w in many]
 
 
-def test_labels_spread_along_links(spark):
-    base = [f"w{k}" for k in range(60)]
-    texts = [" ".join(base), " ".join([*base[:-1], "new"]), " ".join([*base[:-2], "newer", "new"]), "quite another text of the page"]
-    hashes = [int(h) for h in SimHasher()([t.split() for t in texts])]
-    units = spark.createDataFrame(list(zip(texts[1:], hashes[1:])), "text string, hash bigint")
-    trusted = spark.createDataFrame([(NOTICE, texts[0], hashes[0])], "kind tinyint, text string, hash bigint")
-    near = {t for t, h in zip(texts, hashes) if bin((h ^ hashes[0]) & (2**64 - 1)).count("1") <= 3} - {texts[0]}
-    got = {r.text for r in spread_labels(units, trusted).collect()}
-    assert near <= got and texts[3] not in got
-    assert spread_labels(units.limit(0), trusted.limit(0)).count() == 0
+TEXTS = "text string, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint"
 
 
-def test_labels_reach_every_pair_of_short_blocks(spark):
+def _units(spark, texts, kind=None):
+    words = [t.split() for t in texts]
+    rows = [(t, len(set(w)), *m) for t, w, m in zip(texts, words, SimHasher()([sorted(set(w)) for w in words]).tolist())]
+    return spark.createDataFrame(rows, TEXTS) if kind is None else spark.createDataFrame([(kind, *r) for r in rows], "kind int, " + TEXTS)
+
+
+def _cosine(a, b):
+    return len(a & b) / (len(a) * len(b)) ** 0.5
+
+
+def test_labels_reach_what_brute_force_links(spark, monkeypatch):
     # blocks of 5 to 20 words, half of them made from trusted ones by replacing, dropping or adding up to three words
     random = Random(6)
     common = [f"a{k}" for k in range(12)]
@@ -124,24 +127,62 @@ def test_labels_reach_every_pair_of_short_blocks(spark):
             words[at : at + random.randrange(2)] = [f"new{k}x{random.randrange(50)}"] * random.randrange(2)
         return words
 
-    trusted = [block(n) for n in range(5, 21) for _ in range(6)]
-    plain = [block(5 + k % 16) for k in range(200)] + [changed(random.choice(trusted)) for _ in range(400)]
+    seeds = [block(n) for n in range(5, 21) for _ in range(6)]
+    plain = [block(5 + k % 16) for k in range(200)] + [changed(random.choice(seeds)) for _ in range(400)]
     plain += [changed(w) for w in plain[200:]]
-    known = {" ".join(w) for w in trusted}
+    known = {" ".join(w) for w in seeds}
     texts = {" ".join(w) for w in plain if w} - known
     sets = {t: set(t.split()) for t in texts | known}
     wanted, frontier = set(), known
     while frontier:
-        frontier = {t for t in texts - wanted if any(len(sets[t] & sets[f]) >= 0.8 * len(sets[t] | sets[f]) for f in frontier)}
+        frontier = {t for t in texts - wanted if any(_cosine(sets[t], sets[f]) >= 0.8 - 1e-9 for f in frontier)}
         wanted |= frontier
-    hasher = SimHasher()
-    units = spark.createDataFrame([(t, int(hasher([t.split()])[0])) for t in sorted(texts)], "text string, hash bigint")
-    labels = spark.createDataFrame([(NOTICE, t, int(hasher([t.split()])[0])) for t in sorted(known)], "kind tinyint, text string, hash bigint")
-    assert len(wanted) > 100 and {r.text for r in spread_labels(units, labels).collect()} == wanted
+    units, labels = written(_units(spark, sorted(texts) * 2), "t"), _units(spark, sorted(known), NOTICE)
+    got = {r.text for r in spread_labels(units, labels).collect()} - known
+    # nothing false comes out, and the tables (probabilistic) miss hardly anything that brute force links
+    assert len(wanted) > 500 and got <= wanted and len(got) >= 0.98 * len(wanted)
+    monkeypatch.setattr(residue, "MOST_BROADCAST_TEXTS", 0)
+    assert {r.text for r in spread_labels(units, labels).collect()} - known == got
+    assert spread_labels(units.limit(0), labels.limit(0)).count() == 0
+
+
+def test_held_out_notices_are_reached(spark):
+    # variants of trusted texts; none is among them
+    held_out = [
+        "please enable javascript to view this shop page", "you really need to enable scripts to view this page", "this application requires a browser with scripting",
+        "sorry page not found", "type your own paragraph here replace it before launch", "sample paragraph 0 this is dummy copy to be replaced",
+    ]
+    seeds = {" ".join(masked_words(t)) for _, t in trusted_texts()}
+    assert not seeds & set(held_out)
+    other = ["the mill in town keeps a ledger of grain", "this site sells javascript books"]
+    got = {r.text: r.kind for r in spread_labels(_units(spark, held_out + other), residue.trusted(spark)).collect() if r.text not in seeds}
+    assert got == {t: FILLER if "paragraph" in t else NOTICE for t in held_out}
+
+
+def _bodies(spark, pages):
+    rows = []
+    for page_id, status, texts in pages:
+        words = [masked_words(t) for t in texts]
+        marks = SimHasher()([sorted(set(w)) for w in words]).tolist()
+        rows.append((page_id, status, [(0, len(w), len(set(w)), *m, " ".join(w)) for w, m in zip(words, marks)]))
+    return spark.createDataFrame(rows, "page_id bigint, status_code int, blocks array<struct<kind:tinyint,words:int,n:int,m0:bigint,m1:bigint,m2:bigint,m3:bigint,text:string>>")
+
+
+def test_notices_that_servers_send_are_trusted(spark, monkeypatch):
+    tale = "Every mill in town keeps a ledger of grain that its millers weigh {} before the {} bell rings in the tower and nobody minds the dust that settles on the sacks while the wheel turns on through the long {} night of winter and the frost"
+    notice, near = "The kettle is off for service today", "The kettle is off for our service today"
+    pages = [(k, 503, [notice, f"Ask clerk {'abcdefgh'[k]} instead"]) for k in range(4)]
+    pages += [(10, 200, [notice]), (11, 200, [near]), (12, 200, ["The kettle sings"]), (13, 404, ["The kettle sings twice"]), (14, None, ["Another tale"])]
+    pages += [(20 + k, 500, [tale.format(k, "x" * k, "y" * k), "Read on"]) for k in range(5)] + [(30 + k, 500, [f"Short {'abcdefgh'[k]}", "Read on"]) for k in range(4)]
+    pages += [(40, 200, [notice, tale.format("a", "b", "c")]), (10, 200, [notice])]
+    got = [r.page_id for r in residue_pages(written(_bodies(spark, pages), "t")).collect()]
+    assert sorted(got) == [0, 1, 2, 3, 10, 11]
+    monkeypatch.setattr(residue, "MOST_BROADCAST_TEXTS", 0)
+    assert sorted(r.page_id for r in residue_pages(written(_bodies(spark, pages), "t")).collect()) == sorted(got)
 
 
 def _frame(spark, rows):
-    return spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, html string, blocks string")
+    return spark.createDataFrame([(*r, 200, "x", 1) for r in rows], "page_id bigint, html string, status_code int, blocks string, text int")
 
 
 def test_page_queries(spark):
