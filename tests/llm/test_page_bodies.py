@@ -174,9 +174,9 @@ def test_notices_that_servers_send_are_trusted(spark, monkeypatch):
     pages = [(k, 503, [notice, f"Ask clerk {'abcdefgh'[k]} instead"]) for k in range(4)]
     pages += [(10, 200, [notice]), (11, 200, [near]), (12, 200, ["The kettle sings"]), (13, 404, ["The kettle sings twice"]), (14, None, ["Another tale"])]
     pages += [(20 + k, 500, [tale.format(k, "x" * k, "y" * k), "Read on"]) for k in range(5)] + [(30 + k, 500, [f"Short {'abcdefgh'[k]}", "Read on"]) for k in range(4)]
-    pages += [(40, 200, [notice, tale.format("a", "b", "c")]), (10, 200, [notice])]
+    pages += [(40, 200, [notice, tale.format("a", "b", "c")]), (10, 200, [notice]), *((50 + k, 200, [notice]) for k in range(6))]
     got = [r.page_id for r in residue_pages(written(_bodies(spark, pages), "t")).collect()]
-    assert sorted(got) == [0, 1, 2, 3, 10, 11]
+    assert sorted(got) == [0, 1, 2, 3, 10, 11, *range(50, 56)]
     monkeypatch.setattr(residue, "MOST_BROADCAST_TEXTS", 0)
     assert sorted(r.page_id for r in residue_pages(written(_bodies(spark, pages), "t")).collect()) == sorted(got)
 
