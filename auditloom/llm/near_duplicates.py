@@ -14,16 +14,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.operators.hot import hot_keys, split_join
 from auditloom.session import written
 
 SKETCH_BITS = 128
@@ -214,9 +215,9 @@ def close_pairs(sketches: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct pairs (id_a < id_b) of rows (id bigint, sketch binary, buckets array) that share a bucket and differ in at
     most `radius` bits."""
     exploded = sketches.select("id", "sketch", F.explode("buckets").alias("bucket"))
-    # which buckets matter is found from their keys alone
-    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = exploded.join(sizes, "bucket")
+    # which buckets matter is found from their keys alone; the rows of hot ones are split before they meet their sizes
+    sizes = written(exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    member = split_join(exploded, sizes, "bucket", hot_keys(sizes, "bucket"), F.col("id"))
     tiled = member.withColumn("of", F.ceil(F.col("n") / TILE).cast("int")).withColumn(
         "tile", F.pmod(F.xxhash64("id"), F.col("of")).cast("int")
     )
@@ -248,26 +249,43 @@ def similarity(shingle: int):
     return of
 
 
-def class_links(members: DataFrame, shingle: int, least: float, radius: int = RADIUS) -> DataFrame:
-    """Links id_a < id_b between class representatives whose texts reach the similarity `least`.
+def class_heads(members: DataFrame) -> DataFrame:
+    """class, id (the least of its members) and n (members) of every class. Copies of a row count once."""
+    return members.select("class", "id").distinct().groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
+def class_links(members: DataFrame, alike: Callable[[Column, Column], Column], radius: int = RADIUS) -> DataFrame:
+    """Links id_a < id_b between class representatives whose bodies are `alike`.
 
     `members` is a written table of id, class, sketch, buckets and body. Representative of a class is its least id.
     """
-    heads = members.groupBy("class").agg(F.min("id").alias("id"))
-    heads = members.join(heads.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    near = written(close_pairs(heads.select("id", "sketch", "buckets"), radius), "near-pairs")
+    heads = class_heads(members).select("id")
+    slim = members.select("id", "sketch", "buckets").join(heads, "id", "left_semi").dropDuplicates(["id"])
+    near = written(close_pairs(written(slim, "near-heads"), radius), "near-pairs")
     wanted = near.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = heads.select("id", "body").join(wanted, "id", "left_semi")
+    texts = members.select("id", "body").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     a, b = texts.toDF("id_a", "body_a"), texts.toDF("id_b", "body_b")
     both = near.join(a, "id_a").join(b, "id_b")
-    return both.where(similarity(shingle)("body_a", "body_b") >= least).select("id_a", "id_b")
+    return both.where(alike(F.col("body_a"), F.col("body_b"))).select("id_a", "id_b")
+
+
+def linked_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """id, class_id (its class's least member) and links (to other classes) of every member, each once.
+
+    The form for large groups of copies: its size is that of the members, whatever the number of pairs.
+    """
+    ends = links.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    heads = class_heads(members).join(ends, "id", "left").select("class", "n", F.col("id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    heads = written(heads, "near-classes")
+    of = members.select("id", "class").distinct()
+    return split_join(of, heads, "class", hot_keys(heads, "class"), F.col("id")).select("id", "class_id", "links")
 
 
 def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """id_a < id_b of all members of linked classes and of the same class. `members` is (id, class), `links` between heads."""
     of = members.select("id", "class").distinct()
-    head = of.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("n"))
-    placed = of.join(head, "class")
+    head = class_heads(members).withColumnRenamed("id", "head")
+    placed = written(of.join(head, "class"), "near-placed")
     shared = placed.where("n > 1").select("id", "head")
     same = shared.select(F.col("id").alias("id_a"), "head").join(shared.select(F.col("id").alias("id_b"), "head"), "head")
     x = placed.select(F.col("head").alias("id_a"), F.col("id").alias("x"))

@@ -40,8 +40,8 @@ def with_html(pages: DataFrame) -> DataFrame:
 
 
 def fit_model(pages: DataFrame, most: int = MAX_LABELLED_PAGES) -> Chain:
-    """Main-body model from a sample of at most `most` pages, labelled by rules. Reads no more than the sample needs."""
-    sample = with_html(pages).select("html").limit(most).toPandas()["html"]
+    """Main-body model from at most `most` pages, labelled by rules: those with the least hash of their html, wherever they are."""
+    sample = with_html(pages).orderBy(F.xxhash64("html"), "html").select("html").limit(most).toPandas()["html"]
     return train(list(sample))
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from auditloom.functions.addresses import page_address
 from auditloom.llm.bpe import encode_texts
 from auditloom.llm.mixing import mix
-from auditloom.llm.near_duplicates import all_pairs, class_links
-from auditloom.llm.pages import KEYS, NEAR, Extra, fit_model, main_body_keys, page_bodies
+from auditloom.llm.near_duplicates import all_pairs, class_links, linked_classes, similarity
+from auditloom.llm.pages import BODY_SHINGLE, KEYS, NEAR, Extra, fit_model, main_body_keys, page_bodies
 from auditloom.llm.reading_level import fit, reading_levels
 from auditloom.llm.residue import residue_pages
 from auditloom.llm.top_n import top_n
@@ -43,23 +43,59 @@ def _address(urls: pd.Series) -> pd.Series:
     return urls.map(page_address, na_action="ignore")
 
 
-def p4_found(spark: SparkSession, directory: str) -> DataFrame:
-    """Pairs of near-duplicate pages, and of addresses of one page within an audit."""
+def _page_members(spark: SparkSession, directory: str) -> DataFrame:
+    """Main bodies of the pages that are no residue, as members of classes of equal ones."""
     bodies = _bodies(spark, directory, NEAR)
     residue = written(residue_pages(bodies), "residue")
-    members = bodies.join(residue, "page_id", "left_anti").where("near is not null").select(F.col("page_id").alias("id"), "near.*")
-    pages = all_pairs(members, class_links(members, 3, BODY_SIMILARITY))
-    keywords = table(spark, directory, "page_keywords").where("keyword_id is not null and audit_id is not null and page_url is not null")
-    key = F.unhex(F.md5(F.concat_ws("\n", "audit_id", _address("page_url"))))
-    addresses = written(keywords.select(F.col("keyword_id").alias("id"), key.alias("class")), "addresses")
-    same = all_pairs(addresses, spark.createDataFrame([], "id_a bigint, id_b bigint"))
-    return (
-        pages.select(F.lit("crawl_pages").alias("record_table"), "id_a", "id_b")
-        .unionByName(same.select(F.lit("page_keywords").alias("record_table"), "id_a", "id_b"))
-        .distinct()
+    return bodies.join(residue, "page_id", "left_anti").where("near is not null").select(F.col("page_id").alias("id"), "near.*")
+
+
+def _address_members(spark: SparkSession, directory: str) -> DataFrame:
+    """Addresses as members of classes of one spelling in an audit.
+
+    What they are compared by is the audit and the spelling without what does not change the page, so the sketches of one
+    page's addresses are equal.
+    """
+    rows = table(spark, directory, "page_keywords").where("keyword_id is not null and audit_id is not null and page_url is not null")
+    named = rows.select(
+        F.col("keyword_id").alias("id"), F.unhex(F.md5(F.concat_ws("\n", "audit_id", "page_url"))).alias("class"),
+        F.concat_ws("\n", "audit_id", _address("page_url")).alias("body"),
+    )
+    return named.select("id", "class", F.unhex(F.md5("body")).alias("sketch"), F.array(F.xxhash64("body")).alias("buckets"), "body")
+
+
+def _linked(members: DataFrame, pages: bool) -> tuple[DataFrame, DataFrame]:
+    """Members as a written table, and the links between their classes."""
+    members = written(members, "members")
+    if pages:
+        alike = similarity(BODY_SHINGLE)
+        links = class_links(members, lambda a, b: alike(a, b) >= BODY_SIMILARITY)
+    else:
+        links = class_links(members, lambda a, b: a == b, radius=0)
+    return members, written(links, "links")
+
+
+def _of_both(spark: SparkSession, directory: str, use: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    pages = use(*_linked(_page_members(spark, directory), True))
+    addresses = use(*_linked(_address_members(spark, directory), False))
+    return pages.select(F.lit("crawl_pages").alias("record_table"), "*").unionByName(
+        addresses.select(F.lit("page_keywords").alias("record_table"), "*")
     )
 
 
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of near-duplicate pages, and of addresses of one page within an audit."""
+    return _of_both(spark, directory, all_pairs).distinct()
+
+
+def p4_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """record_table, id, class_id and number of links of every page with a main body and every address.
+
+    Members of one class are copies; links lead to other classes of near-duplicates.
+    """
+    return _of_both(spark, directory, linked_classes)
+
+
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Blocks of the main body of each page that is no residue."""
     bodies = _bodies(spark, directory, KEYS)
@@ -106,6 +142,7 @@ def p9_found(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,

@@ -7,6 +7,7 @@ told by nearness to trusted texts, which `residue` looks for; the few below are
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import product
 from auditloom.llm.blocks import Block
 
@@ -121,18 +122,20 @@ def block_kind(block: Block) -> int:
     return ORDINARY
 
 
+@lru_cache(maxsize=100_000)
+def _masked(word: str) -> str:
+    """A word without marks around it, empty if nothing is left; 0 for what is no word."""
+    if word.isalpha():
+        return word
+    word = word.strip(_EDGES)
+    if not word or word.isalpha() or _PLAIN.fullmatch(word) or _ERROR_CODE.fullmatch(word):
+        return word
+    return "0"
+
+
 def masked_words(text: str) -> list[str]:
     """Words in lower case without marks around them; what is no word (addresses, numbers but error codes, ids) is 0."""
-    found = []
-    for w in text.lower().split():
-        if not w.isalpha():
-            w = w.strip(_EDGES)
-            if not w:
-                continue
-            if not w.isalpha() and not _PLAIN.fullmatch(w) and not _ERROR_CODE.fullmatch(w):
-                w = "0"
-        found.append(w)
-    return found
+    return [w for w in map(_masked, text.lower().split()) if w]
 
 
 def trusted_texts() -> list[tuple[int, str]]:

@@ -20,17 +20,16 @@ from pyspark.sql import functions as F
 BITS, WORDS, PART_BITS, FLIPPED = 256, 4, 16, 2
 #: All changes of at most FLIPPED bits of a part.
 FLIPS = [sum(1 << k for k in ks) for n in range(FLIPPED + 1) for ks in combinations(range(PART_BITS), n)]
-_WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 class SimHasher:
     """Fingerprints. Signs of known words are kept; the store starts anew when it gets large."""
 
-    MOST_WORDS = 200_000
+    MOST_WORDS = 50_000
 
     def __init__(self) -> None:
         self._index: dict[str, int] = {}
-        self._signs = np.empty((1024, BITS), np.int8)
+        self._signs = np.empty((1024, BITS), np.int16)
 
     def _of(self, word: str) -> int:
         k = len(self._index)
@@ -38,7 +37,7 @@ class SimHasher:
             self._signs = np.concatenate([self._signs, np.empty_like(self._signs)])
         half = xxhash.xxh128_digest(word)
         bits = np.unpackbits(np.frombuffer(half + xxhash.xxh128_digest(word, 1), np.uint8))
-        self._signs[k] = bits.astype(np.int8) * 2 - 1
+        self._signs[k] = bits.astype(np.int16) * 2 - 1
         self._index[word] = k
         return k
 
@@ -58,7 +57,7 @@ class SimHasher:
             # sums of signs fit 16 bits unless a text has more distinct words than that
             wide = np.int16 if len(rows) < 30_000 else np.int32
             above = np.add.reduceat(self._signs[rows], starts, axis=0, dtype=wide) > 0
-            out[filled] = (above.reshape(-1, WORDS, 64) * _WEIGHTS).sum(2, dtype=np.uint64).view(np.int64)
+            out[filled] = np.packbits(above, axis=1).view(np.int64)
             rows.clear(), starts.clear(), filled.clear()
 
         for k, words in enumerate(sets):
