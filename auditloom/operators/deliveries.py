@@ -11,13 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.dataset import dataset, field
-from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.ids import is_blank, stripped
-from auditloom.session import write_scratch
+from auditloom.session import scratch_rows, write_scratch
 
 #: Parts into which deletion vectors are laid out by file.
 VECTOR_PARTS = 256
@@ -99,9 +97,5 @@ def read_kept(spark: SparkSession, path: str, vectors: DataFrame) -> DataFrame:
 
 def _vector(place: str, file: int, parts: int) -> np.ndarray:
     """Positions to skip in a file; none for a file without drops."""
-    system, root = FileSystem.from_uri(place if "://" in place else f"file://{place}")
-    folder = f"{root}/part={file % parts}"
-    if system.get_file_info(folder).type == FileType.NotFound:
-        return np.empty(0, np.int64)
-    rows = dataset(folder, filesystem=system, format="parquet").to_table(columns=["rows"], filter=field("file") == file)["rows"]
-    return rows.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    found = scratch_rows(place, f"part={file % parts}", "file", file)
+    return found["rows"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if found.num_rows else np.empty(0, np.int64)

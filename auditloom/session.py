@@ -12,6 +12,9 @@ import zipfile
 from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow.dataset import dataset, field
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the operators count on; a cluster's own values win.
@@ -92,6 +95,15 @@ def write_scratch(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
     return path
 
 
+def scratch_rows(path: str, part: str, column: str, value: int) -> pa.Table:
+    """Rows of a scratch table, laid out by `part` (name=value), that have `value` in `column`; for use in tasks."""
+    system, root = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    folder = f"{root}/{part}"
+    if system.get_file_info(folder).type == FileType.NotFound:
+        return pa.table({})
+    return dataset(folder, filesystem=system, format="parquet").to_table(filter=field(column) == value)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     local = path.removeprefix("file://")
     if os.path.isabs(local):
