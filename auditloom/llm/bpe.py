@@ -1,7 +1,7 @@
 """Byte-level BPE of a public vocabulary, for whole partitions at a time.
 
-Splitting is a handful of array operations over the code points of many documents.  The distinct pieces of a partition are
-then merged together: an index maps every rank to all positions of its pair, active ranks are applied in ascending order,
+Splitting is a handful of array operations over the code points of many documents.  The distinct pieces of a slice of a
+partition are then merged together: an index maps every rank to all positions of its pair, active ranks are applied in ascending order,
 and each application updates the lists of the neighbouring pairs.  Pieces seen before are taken from what the task knows.
 """
 
@@ -11,6 +11,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 #: Code points that are split at once.
 _SLICE_CHARS = 1 << 20
-#: Longer pieces are told apart by their text, shorter ones by a 64-bit hash and their length.
+#: Longer pieces are told apart by their text, shorter ones by two 64-bit hashes, or by their text where only one agrees.
 _LONG = 256
 #: A packed id; the vocabularies have less than 65,536.
 ID_TYPE, ID_BYTES = "<u2", 2
@@ -44,6 +45,7 @@ _ONE_LETTER, _TWO_LETTERS = "stmd", ("re", "ve", "ll")
 # --------------------------------------------------------------------------------------------------------------------------
 
 
+@cache
 def _classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     for cp in range(0x110000):
@@ -162,6 +164,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self._hashes = np.empty(0, np.uint64)
+        self._others = np.empty(0, np.uint64)
         self._places = np.empty((0, 2), np.int64)  # start and length in the pool
         self._pool = np.empty(0, np.int32)
         self._long: dict[str, tuple[int, int]] = {}
@@ -238,10 +241,16 @@ class Encoder:
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        total = np.r_[np.uint64(0), np.cumsum(mixed * power[:n], dtype=np.uint64)]
-        sizes = ends - starts
-        hashes = (total[ends] - total[starts]) * inverse[starts] + sizes.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        places = self._places_of(whole, hashes, starts, ends)
+        sizes = (ends - starts).astype(np.uint64)
+
+        def hashed(values: np.ndarray, of_size: np.uint64) -> np.ndarray:
+            total = np.r_[np.uint64(0), np.cumsum(values * power[:n], dtype=np.uint64)]
+            return (total[ends] - total[starts]) * inverse[starts] + sizes * of_size
+
+        hashes = hashed(mixed, np.uint64(0xFF51AFD7ED558CCD))
+        mixed *= np.uint64(0xC4CEB9FE1A85EC53)
+        mixed ^= mixed >> np.uint64(29)
+        places = self._places_of(whole, hashes, hashed(mixed, np.uint64(0x9FB21C651E98DF25)), starts, ends)
         lens = places[:, 1]
         out = np.cumsum(lens)
         shift = np.repeat(places[:, 0] - (out - lens), lens)
@@ -250,15 +259,24 @@ class Encoder:
         running = np.r_[0, out]
         return ids, np.diff(np.r_[0, running[until]])
 
-    def _places_of(self, whole: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _places_of(self, whole: str, hashes: np.ndarray, others: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self._hashes) + len(self._long) > _MOST_PIECES:
             self._forget()
         long = ends - starts > _LONG
-        distinct, sample, inverse = np.unique(hashes[~long], return_index=True, return_inverse=True)
-        at = np.searchsorted(self._hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self._hashes)
-        known[inside] = self._hashes[at[inside]] == distinct[inside]
+        while True:
+            distinct, sample, inverse = np.unique(hashes[~long], return_index=True, return_inverse=True)
+            second = others[~long]
+            at = np.searchsorted(self._hashes, distinct)
+            known = np.zeros(len(distinct), bool)
+            inside = at < len(self._hashes)
+            known[inside] = self._hashes[at[inside]] == distinct[inside]
+            # a piece with the first hash of another one is told apart by its text, as long ones are
+            clash = np.zeros(len(distinct), bool)
+            clash[known] = self._others[at[known]] != second[sample[known]]
+            odd = clash[inverse] | (second != second[sample][inverse])
+            if not odd.any():
+                break
+            long[np.flatnonzero(~long)[odd]] = True
         new = np.flatnonzero(~known)
         short_starts, short_ends = starts[~long], ends[~long]
         texts = [whole[short_starts[k] : short_ends[k]] for k in sample[new]]
@@ -273,6 +291,7 @@ class Encoder:
             rows = np.stack([begin, lens], 1)
             where = at[new]
             self._hashes = np.insert(self._hashes, where, distinct[new])
+            self._others = np.insert(self._others, where, second[sample[new]])
             self._places = np.insert(self._places, where, rows[: len(texts)], axis=0)
             for x, row in zip(fresh, rows[len(texts) :]):
                 self._long[x] = (int(row[0]), int(row[1]))

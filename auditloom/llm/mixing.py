@@ -1,10 +1,12 @@
 """Mix of several sources by target shares of the total size in tokens.
 
 1. The token streams of each source are packed into blocks of a fixed length.  A document's place in its source's stream
-   is a running total in two steps: totals per partition and source, then within each partition while it is read, so a
-   source may hold any part of the corpus and no document is shuffled before it is cut.
-2. Every output shard draws its counts per source from a multinomial over what the sources still owe.  Counts never
-   exceed what is owed, so that the whole mix keeps its quotas exactly.
+   is a running total in two steps: totals per partition and source (a table from which each task reads its own row), then
+   within each partition while it is read, so a source may hold any part of the corpus and no document is shuffled before it
+   is cut.
+2. Every output shard draws its counts per source from a multinomial over what the sources still owe, in two steps: groups
+   of shards from the whole mix, shards from their group.  Counts never exceed what is owed, so that the whole mix keeps its
+   quotas exactly.
 3. Draw number j of a source is block perm_e(j mod n) of its n blocks in pass e = j div n, by a pseudorandom permutation of
    the indexes (a Feistel network with cycle walking).  Blocks are joined by their index.
 """
@@ -24,11 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm.bpe import ID_BYTES, ID_TYPE
+from auditloom.session import scratch_rows, write_scratch, written
 
 #: Tokens of a block; only a source's last block may be shorter.
 BLOCK_TOKENS = 1024
-#: Blocks of an output shard at least, and output shards at most (the plan of the draws is made on the driver).
-SHARD_BLOCKS, MOST_SHARDS = 256, 10_000
+#: Blocks of an output shard; only the last shard may have fewer.
+SHARD_BLOCKS = 256
+#: Shards of a group. Counts are drawn for groups on the driver (one short row for each group and source, so some 200,000 for
+#: 25 trillion tokens), and in tasks for the shards of each group.
+GROUP_SHARDS = 4096
+#: Parts into which the places of partitions are laid out.
+OFFSET_PARTS = 256
 _ROUNDS = 4
 
 
@@ -71,24 +79,38 @@ def quotas(sources: Sequence[tuple[str, float, int, int]], total: int | None = N
     return [Quota(s, w, n, most, min(whole[s], most)) for s, w, most, n in usable]
 
 
-def shard_draws(plan: Sequence[Quota], seed: int = 7) -> tuple[int, list[tuple[int, str, int, int]]]:
-    """Blocks of a shard, and (shard, source, first draw, draws) for every source that a shard draws from."""
-    total = sum(q.drawn for q in plan)
-    size = max(SHARD_BLOCKS, math.ceil(total / MOST_SHARDS))
-    random = np.random.default_rng(seed)
-    owed = np.array([q.drawn for q in plan], np.int64)
-    given = np.zeros_like(owed)
-    rows: list[tuple[int, str, int, int]] = []
-    for shard in range(math.ceil(total / size)):
-        need = int(min(size, owed.sum()))
-        counts = np.zeros_like(owed)
+def draws(owed: Sequence[int], size: int, random: np.random.Generator) -> Iterator[np.ndarray]:
+    """Counts of each source for one unit of `size` blocks after the other, until nothing is owed: multinomials over what is
+    still owed, never above it."""
+    left = np.array(owed, np.int64)
+    while left.any():
+        need = int(min(size, left.sum()))
+        counts = np.zeros_like(left)
         while need:
-            rest = owed - counts
+            rest = left - counts
             counts += np.minimum(random.multinomial(need, rest / rest.sum()), rest)
-            need = int(min(size, owed.sum()) - counts.sum())
-        rows += [(shard, plan[k].source, int(given[k]), int(n)) for k, n in enumerate(counts) if n]
-        owed, given = owed - counts, given + counts
-    return size, rows
+            need = int(min(size, left.sum()) - counts.sum())
+        left = left - counts
+        yield counts
+
+
+def group_draws(plan: Sequence[Quota], seed: int = 7) -> list[tuple[int, list[int], list[int]]]:
+    """group, and for each source of the plan its first draw in that group and how many."""
+    given = np.zeros(len(plan), np.int64)
+    rows: list[tuple[int, list[int], list[int]]] = []
+    for group, counts in enumerate(draws([q.drawn for q in plan], SHARD_BLOCKS * GROUP_SHARDS, np.random.default_rng(seed))):
+        rows.append((group, given.tolist(), counts.tolist()))
+        given = given + counts
+    return rows
+
+
+def shard_draws(group: int, first: Sequence[int], owed: Sequence[int], size: int, per_group: int, seed: int = 7) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source's place in the plan, first draw, draws) of the shards of a group, `per_group` shards of `size` blocks."""
+    given = np.array(first, np.int64)
+    for k, counts in enumerate(draws(owed, size, np.random.default_rng([seed, group]))):
+        for source in np.flatnonzero(counts):
+            yield group * per_group + k, int(source), int(given[source]), int(counts[source])
+        given = given + counts
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -114,33 +136,27 @@ def _permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()))
 
 
-def _partition_totals(encoded: DataFrame) -> dict[str, list[tuple[int, int]]]:
-    """(partition, tokens) of each source, by partition: one short row for each pair of partition and source."""
-    rows = encoded.groupBy(F.spark_partition_id().alias("part"), "source").agg(F.sum("tokens").alias("n")).collect()
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in sorted(rows, key=lambda r: r["part"]):
-        found.setdefault(r["source"], []).append((r["part"], r["n"]))
-    return found
+def partition_places(encoded: DataFrame) -> DataFrame:
+    """part, source, first and until: which of a source's tokens each partition holds. One short row for each pair."""
+    totals = encoded.groupBy(F.spark_partition_id().alias("part"), "source").agg(F.sum("tokens").alias("n"))
+    until = F.sum("n").over(Window.partitionBy("source").orderBy("part"))
+    return totals.select("part", "source", (until - F.col("n")).alias("first"), until.alias("until"))
 
 
-def packed(encoded: DataFrame, totals: dict[str, list[tuple[int, int]]]) -> DataFrame:
+def packed(encoded: DataFrame, places: DataFrame) -> DataFrame:
     """source, block_no and ids (packed) of every block; each token of `encoded` is in exactly one block.
 
-    `encoded` is a written table of source, tokens and ids, `totals` its tokens per partition. A partition that holds
-    another number of tokens than when it was counted ends the query with an error.
+    `encoded` is a written table of source, tokens and ids, `places` what `partition_places` gives for it. A partition that
+    holds another number of tokens than when it was counted ends the query with an error.
     """
-    starts: dict[int, dict[str, int]] = {}
-    ends: dict[int, dict[str, int]] = {}
-    for source, parts in totals.items():
-        at = 0
-        for part, n in parts:
-            starts.setdefault(part, {})[source] = at
-            at += n
-            ends.setdefault(part, {})[source] = at
+    parts = OFFSET_PARTS
+    laid = places.withColumn("folder", F.pmod("part", F.lit(parts))).repartition("folder").sortWithinPartitions("folder", "part")
+    path = write_scratch(laid, "mix-places", ["folder"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        place = dict(starts.get(part, {}))
+        mine = scratch_rows(path, f"folder={part % parts}", "part", part).to_pylist()
+        place = {r["source"]: r["first"] for r in mine}
         for batch in batches:
             sources: list[str] = []
             numbers: list[int] = []
@@ -158,7 +174,7 @@ def packed(encoded: DataFrame, totals: dict[str, list[tuple[int, int]]]) -> Data
                 place[source] = at + n
             columns = [pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64()), pa.array(pieces, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["source", "block_no", "at", "part"])
-        if place != ends.get(part, {}):
+        if place != {r["source"]: r["until"] for r in mine}:
             raise RuntimeError(f"partition {part} of the encoded documents has changed since it was counted")
 
     pieces = encoded.select("source", "ids").mapInArrow(run, "source string, block_no bigint, at bigint, part binary")
@@ -174,11 +190,18 @@ def _unpacked(ids: pd.Series) -> pd.Series:
 
 def slots(spark: SparkSession, plan: Sequence[Quota], seed: int = 7) -> DataFrame:
     """shard, slot, source, repeat_no and block_no of every place of the mix."""
-    size, draws = shard_draws(plan, seed)
-    kinds = "shard bigint, source string, first bigint, draws bigint"
-    drawn = spark.createDataFrame(draws or [], kinds).repartition(max(1, min(len(draws), 200)))
-    blocks = spark.createDataFrame([(q.source, q.blocks) for q in plan], "source string, blocks bigint")
-    each = drawn.join(F.broadcast(blocks), "source").withColumn("j", F.explode(F.expr("sequence(first, first + draws - 1)")))
+    size, per_group = SHARD_BLOCKS, GROUP_SHARDS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for group, first, owed in zip(frame["group"], frame["first"], frame["owed"]):
+                rows = list(shard_draws(int(group), first, owed, size, per_group, seed))
+                yield pd.DataFrame(rows, columns=["shard", "place", "first", "draws"])
+
+    groups = spark.createDataFrame(group_draws(plan, seed), "group bigint, first array<bigint>, owed array<bigint>")
+    drawn = groups.mapInPandas(run, "shard bigint, place int, first bigint, draws bigint").repartition("shard")
+    blocks = spark.createDataFrame([(k, q.source, q.blocks) for k, q in enumerate(plan)], "place int, source string, blocks bigint")
+    each = drawn.join(F.broadcast(blocks), "place").withColumn("j", F.explode(F.expr("sequence(first, first + draws - 1)")))
     repeat = F.expr("j div blocks")
     key = F.xxhash64("source", repeat, F.lit(seed))
     placed = each.select(
@@ -203,13 +226,13 @@ def mix(encoded: DataFrame, targets: DataFrame, total: int | None = None, seed:
     the mix's tokens that each source really has. Without any usable source the mix is empty and all shares are 0.
     """
     spark = encoded.sparkSession
-    goals = {r[0] for r in targets.where("source is not null").select("source").distinct().collect()}
-    used = encoded.where(F.col("source").isin(sorted(goals)) & (F.col("tokens") > 0))
-    totals = _partition_totals(used)
-    tokens = {source: sum(n for _, n in parts) for source, parts in totals.items()}
+    goals = targets.where("source is not null").select("source").distinct()
+    used = encoded.join(F.broadcast(goals), "source", "left_semi").where("tokens > 0")
+    places = written(partition_places(used), "mix-partitions")
+    tokens = {r[0]: r[1] for r in places.groupBy("source").agg(F.max("until")).collect()}  # one row for each target
     plan = plan_mix(tokens, targets, total)
     placed = slots(spark, plan, seed)
-    blocks = packed(used, totals)
+    blocks = packed(used, places)
     joined = placed.join(blocks, ["source", "block_no"]).select(
         "shard", "slot", "source", "repeat_no", "block_no", _unpacked("ids").alias("tokens")
     )

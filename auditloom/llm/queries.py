@@ -129,14 +129,14 @@ def p8_shares(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS)
 
 
 def p9_levels(spark: SparkSession, directory: str) -> DataFrame:
-    """Words of English prose and reading level of every document."""
+    """Words of English prose, reading level and what it rests on, of every document."""
     documents = table(spark, directory, "documents")
     return reading_levels(documents, fit(documents, table(spark, directory, "reading_labels")))
 
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents whose English prose is of level 4 or 5."""
-    return p9_levels(spark, directory).where("reading_level >= 4").select("doc_id")
+    return p9_levels(spark, directory).where("basis = 'prose' and reading_level >= 4").select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

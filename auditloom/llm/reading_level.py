@@ -1,13 +1,16 @@
 """Reading level of each document by smoothed unigram language models, one for each level.
 
 The models are counted on labelled documents; every rating counts, so raters who disagree share a document.  A document
-gets the level with the highest posterior likelihood of its English prose.
+gets the level with the highest posterior likelihood of its English prose.  Texts with too little of it, other languages too,
+get theirs from a second set of unigram models, whose units are the lengths of words and sentences in place of the words.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,29 @@ MAX_LABELLED_DOCUMENTS = 5000
 PSEUDO_COUNT, SHARED = 0.5, 0.02
 #: Words of English prose from which a document has a level. None has between 40 and 60; the bound lies between.
 LEAST_PROSE = 50
+#: Lengths from which words (letters) and sentences (words) are no longer told apart.
+_LONG_WORD, _LONG_SENTENCE = 16, 12
+_WORDS = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_SENTENCES = re.compile(r"[.!?…]+(?=\s|$)|\n")
+
+
+def shapes(text: str | None) -> list[str]:
+    """The lengths of the words and sentences of a text, as units of a unigram model that knows no language."""
+    found: list[str] = []
+    for sentence in _SENTENCES.split(text or ""):
+        words = _WORDS.findall(sentence)
+        if words:
+            found += [f"#{min(len(w), _LONG_WORD)}" for w in words]
+            found.append(f"#s{min(len(words) // 4, _LONG_SENTENCE)}")
+    return found
+
+
+@dataclass(frozen=True)
+class Models:
+    """Models over the words of English prose, and over the shapes of any text."""
+
+    english: "LevelModel"
+    shape: "LevelModel"
 
 
 class LevelModel:
@@ -44,7 +70,7 @@ class LevelModel:
         return int((self.likelihood[known].sum(0) + self.prior).argmax()) + 1
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED_DOCUMENTS) -> LevelModel:
+def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED_DOCUMENTS) -> Models:
     """Models from at most `most` labelled documents. Null and out-of-range ratings don't count."""
     rated = labels.where(f"reading_level between 1 and {LEVELS} and doc_id is not null")
     per = rated.groupBy("doc_id").agg(
@@ -61,6 +87,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED_DOCUME
                 weights = np.array(ratings, float)
                 if words := english_prose(text):
                     seen += weights
+                    words = words + shapes(text)
                 for w in words:
                     if w in sums:
                         sums[w] += weights
@@ -75,23 +102,37 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED_DOCUME
     rows = counted.groupBy("word").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(LEVELS)]).collect()
     counts = {r[0]: [float(x) for x in r[1:]] for r in rows}
     ratings = counts.pop("", [0.0] * LEVELS)
-    return LevelModel(counts, ratings)
+    english = {w: n for w, n in counts.items() if w[0] != "#"}
+    return Models(LevelModel(english, ratings), LevelModel({w: n for w, n in counts.items() if w[0] == "#"}, ratings))
+
 
+def reading_levels(documents: DataFrame, models: Models) -> DataFrame:
+    """doc_id, prose_words (of English), reading_level and basis of every document, null and empty texts included.
 
-def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
-    """doc_id, prose_words and reading_level (null below LEAST_PROSE words) of every document, null and empty texts included."""
+    basis is `prose` from LEAST_PROSE words of English prose on, `shape` for other texts with any word, and `none` for null,
+    empty and wordless texts, which are of level 1: there is nothing to read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes: list[int] = []
-            levels: list[int | None] = []
-            for text in batch.column(1):
-                words = english_prose(text.as_py())
+            levels: list[int] = []
+            bases: list[str] = []
+            for value in batch.column(1):
+                text = value.as_py()
+                words = english_prose(text)
                 sizes.append(len(words))
-                levels.append(model.level(words) if len(words) >= LEAST_PROSE else None)
+                if len(words) >= LEAST_PROSE:
+                    basis, level = "prose", models.english.level(words)
+                elif units := shapes(text):
+                    basis, level = "shape", models.shape.level(units)
+                else:
+                    basis, level = "none", 1
+                levels.append(level)
+                bases.append(basis)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(levels, pa.int32())],
-                ["doc_id", "prose_words", "reading_level"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(levels, pa.int32()), pa.array(bases)],
+                ["doc_id", "prose_words", "reading_level", "basis"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, prose_words int, reading_level int")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, prose_words int, reading_level int, basis string")

@@ -4,7 +4,8 @@ Every row has an order-preserving code: a list of integers whose lexicographic o
 order (doubles by their bits, strings by their bytes, identifiers last, so that no two different rows tie).  All groups
 refine their cutoff at once: a pass counts rows above the midpoints of each group's interval, keeps the part that holds
 the N-th row and drops the rest, until each group's rows at or above its cutoff are exactly N.  Counting combines on the
-map side, so no group is ever gathered, sorted or sent to one task.
+map side.  Rows meet the state of their group by a broadcast where the groups are few; where they are many, by a shuffle in
+which the rows of groups with very many are split over tasks.  So no large group is gathered, sorted or sent to one task.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators.hot import hot_keys, split_join
 from auditloom.session import written
 
 #: Parts into which a pass cuts each group's interval (midpoints + 1).
-PARTS = 512
+PARTS = 4096
+#: Words of the code behind the current one whose bounds a pass takes along, to step over words that all rows share.
+AHEAD = 3
+#: Groups up to which their state is broadcast (some 150 bytes each).
+MOST_BROADCAST_GROUPS = 50_000
 _CHUNK = 7  # bytes of a string in one word
 
 
@@ -36,12 +42,13 @@ class _Piece:
 
     def prepared(self) -> Column:
         if self.kind == "double":
-            value = F.when(self.column.isNotNull() & ~F.isnan(self.column), _sortable(self.column))
+            least = F.lit(1 - 2**63 if self.descending else 2**63 - 2)
+            value = F.when(F.isnan(self.column), least).when(self.column.isNotNull(), _sortable(self.column))
         elif self.kind == "string":
             return self.column
         else:
             value = self.column.cast("bigint")
-        # null and NaN last, which is least in a code that is compared greatest first
+        # NaN after all numbers and null after it, which are least in a code that is compared greatest first
         return F.coalesce(value if self.descending else F.bitwise_not(value), F.lit(-(2**63)))
 
     @property
@@ -66,8 +73,8 @@ class _Piece:
 def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
     """`groups` and `order` columns of the first `n` distinct rows of each group.
 
-    `order` lists (column, descending) and should end with an identifier. Null and NaN come last in every column, strings
-    are ordered by their bytes. Rows that agree in all these columns count once. Groups may be null and hold fewer than
+    `order` lists (column, descending) and should end with an identifier. In every column NaN comes after all numbers and
+    null last; strings are ordered by their bytes. Rows that agree in all these columns count once. Groups may be null and hold fewer than
     `n` rows; then all come out. An empty table gives an empty result; other columns are ignored.
     """
     types = dict(df.dtypes)
@@ -97,36 +104,38 @@ def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, bool]
         return found
 
     def bounds(level: Column) -> list[Column]:
-        here, after = word(level), word(level + 1)
-        return [
-            F.count("*").alias("n"),
-            F.min(here).alias("lo"),
-            F.max(here).alias("hi"),
-            F.min(after).alias("next_lo"),
-            F.max(after).alias("next_hi"),
-        ]
-
-    start = rows.groupBy("__g").agg(*bounds(F.lit(0))).where(F.col("n") > n)
+        ends = [F.count("*").alias("n")]
+        for k in range(AHEAD + 1):
+            ends += [F.min(word(level + k)).alias(f"lo{k}"), F.max(word(level + k)).alias(f"hi{k}")]
+        return ends
+
+    sizes = rows.groupBy("__g").agg(*bounds(F.lit(0)))
+    start = written(sizes.where(F.col("n") > n), "top-n-groups")
+    hot = written(hot_keys(start, "__g"), "top-n-hot")
+    spread = F.struct(*names)
+
+    def meet(left: DataFrame, right: DataFrame, groups_: int, how: str = "inner") -> DataFrame:
+        if groups_ <= MOST_BROADCAST_GROUPS:
+            return left.join(F.broadcast(right), "__g", how)
+        return split_join(left, right, "__g", hot, spread, how)
+
     state = written(_advance(start.select("*", F.lit(n).alias("need"), F.lit(0).alias("level"), _no_prefix())), "top-n-state")
     done = state.where("decided")
     open_ = state.where("not decided")
-    active, first = rows, True
-    while not open_.isEmpty():
+    active = rows
+    while (left := open_.count()) > 0:
         cut = open_.select("__g", "level", "lo", "hi", "need", "prefix", "check_level", "check_lo", "check_hi")
         seen = word(F.col("check_level"))
-        inside = active.join(cut, "__g").where((seen >= F.col("check_lo")) & (seen <= F.col("check_hi")))
-        if first:
-            first = False
-        else:
-            active = written(inside.select(*active.columns), "top-n-active")
-            inside = active.join(cut, "__g")
+        inside = meet(active, cut, left).where((seen >= F.col("check_lo")) & (seen <= F.col("check_hi")))
+        active = written(inside, "top-n-active")
         part = F.expr(f"(__w - lo) div ((hi - lo) div {PARTS} + 1)")
         counted = (
-            inside.withColumn("__w", word(F.col("level")))
+            active.withColumn("__w", word(F.col("level")))
             .withColumn("part", part)
             .groupBy("__g", "level", "need", "prefix", "part")
             .agg(*bounds(F.col("level")))
         )
+        # PARTS rows of a group at most
         above = F.coalesce(
             F.sum("n").over(Window.partitionBy("__g").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
@@ -137,12 +146,13 @@ def top_n(df: DataFrame, groups: Sequence[str], order: Sequence[tuple[str, bool]
             .withColumn("need", F.col("need") - F.col("above"))
             .drop("part", "above")
         )
+        active = active.select(*rows.columns)
         state = written(_advance(chosen), "top-n-state")
         done = done.unionByName(state.where("decided"))
         open_ = state.where("not decided")
-    cutoffs = done.select("__g", "cutoff")
+    cutoffs = written(done.select("__g", "cutoff"), "top-n-cutoffs")
     code = F.transform(F.sequence(F.lit(0), F.size("cutoff") - 1), lambda k: word(k))
-    joined = rows.join(cutoffs, "__g", "left")
+    joined = meet(rows, cutoffs, cutoffs.count(), "left")
     return joined.where(F.col("cutoff").isNull() | (code >= F.col("cutoff"))).select(*groups, *[c for c, _ in order])
 
 
@@ -153,20 +163,25 @@ def _no_prefix() -> Column:
 def _advance(chosen: DataFrame) -> DataFrame:
     """State after a pass, from the part of each group that holds its N-th row.
 
-    The part's rows are wanted whole: the group is decided. They share their word: its value joins the prefix and the next
-    word is refined. Else the same word is refined between the part's least and greatest value.
+    The part's rows are wanted whole: the group is decided. Words that they share join the prefix; the first that they do not
+    share is refined between the part's least and greatest value.
     """
-    whole, same = F.col("n") == F.col("need"), F.col("lo") == F.col("hi")
-    return chosen.select(
+    whole = F.col("n") == F.col("need")
+    # words in a row that all rows of the part share, and the first that they do not
+    shared = F.lit(AHEAD)
+    for k in reversed(range(AHEAD)):
+        shared = F.when(F.col(f"lo{k}") != F.col(f"hi{k}"), F.lit(k)).otherwise(shared)
+    los, his = (F.array(*[F.col(f"{end}{k}") for k in range(AHEAD + 1)]) for end in ("lo", "hi"))
+    return chosen.select("*", shared.alias("shared"), los.alias("los"), his.alias("his")).select(
         "__g",
         "need",
         whole.alias("decided"),
-        F.when(whole, F.array_append("prefix", F.col("lo"))).alias("cutoff"),
-        F.when(same, F.array_append("prefix", F.col("lo"))).otherwise(F.col("prefix")).alias("prefix"),
+        F.when(whole, F.array_append("prefix", F.col("lo0"))).alias("cutoff"),
+        F.concat("prefix", F.slice("los", F.lit(1), F.col("shared"))).alias("prefix"),
         F.col("level").alias("check_level"),
-        F.col("lo").alias("check_lo"),
-        F.col("hi").alias("check_hi"),
-        F.when(same, F.col("level") + 1).otherwise(F.col("level")).alias("level"),
-        F.when(same, F.col("next_lo")).otherwise(F.col("lo")).alias("lo"),
-        F.when(same, F.col("next_hi")).otherwise(F.col("hi")).alias("hi"),
+        F.col("lo0").alias("check_lo"),
+        F.col("hi0").alias("check_hi"),
+        (F.col("level") + F.col("shared")).alias("level"),
+        F.get("los", F.col("shared")).alias("lo"),
+        F.get("his", F.col("shared")).alias("hi"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import mixing
 from auditloom.llm.bpe import Encoder, Vocabulary, encode_texts, merge_pieces
-from auditloom.llm.mixing import BLOCK_TOKENS, mix, permuted, quotas, shard_draws
+from auditloom.llm.mixing import BLOCK_TOKENS, group_draws, mix, permuted, quotas, shard_draws
 from auditloom.llm.prose import english_prose
 from auditloom.llm.queries import TOKENIZERS
 from auditloom.llm.reading_level import LevelModel, fit, reading_levels
@@ -33,6 +33,22 @@ def test_ids_equal_the_library():
         assert e.ids == ids[ends[k] : ends[k + 1]].tolist(), texts[k]
 
 
+@needs_tokenizer
+def test_pieces_with_one_hash_are_told_apart_by_their_text():
+    encoder = Encoder(Vocabulary(PATH))
+    texts = ["one", " two", " three", "one", "four"]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - np.array([len(t) for t in texts])
+    for words in (texts, texts[::-1]):  # the second time some are known
+        whole = "".join(words)
+        ends = np.cumsum([len(t) for t in words])
+        starts = ends - np.array([len(t) for t in words])
+        others = np.array([hash(t) & 0xFFFF for t in words], np.uint64)
+        places = encoder._places_of(whole, np.full(len(words), 7, np.uint64), others, starts, ends)
+        alone = [Encoder(Vocabulary(PATH)).encode([t])[0].tolist() for t in words]
+        assert [encoder._pool[a : a + n].tolist() for a, n in places] == alone
+
+
 @needs_tokenizer
 def test_pieces_are_merged_leftmost_first():
     v = Vocabulary(PATH)
@@ -61,17 +77,22 @@ def test_quotas():
     assert made == {"a": 100, "b": 20, "c": 0, "d": 0}
     assert {q.source: q.drawn for q in quotas([("a", 0.6, 3, 100), ("b", 0.4, 3, 100)], 50)} == {"a": 30, "b": 20}
     assert sum(q.drawn for q in quotas([(s, 1 / 3, 1, 40) for s in "abc"], 100)) == 100
-    assert quotas([]) == [] and shard_draws([]) == (mixing.SHARD_BLOCKS, [])
+    assert quotas([]) == [] and group_draws([]) == []
 
 
-def test_draws_meet_the_quotas():
-    plan = quotas([("a", 0.7, 1, 900), ("b", 0.3, 2, 250)])
-    size, rows = shard_draws(plan)
-    drawn = Counter()
-    for _, source, first, n in rows:
-        assert first == drawn[source]
-        drawn[source] += n
-    assert drawn == {q.source: q.drawn for q in plan}
+@pytest.mark.parametrize("group_shards", [2, 4096])
+def test_draws_meet_the_quotas(monkeypatch, group_shards):
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", group_shards)
+    plan = quotas([("a", 0.7, 1, 900), ("b", 0.3, 2, 250), ("c", 0.0, 1, 9)])
+    drawn, sizes = Counter(), Counter()
+    for group, first, owed in group_draws(plan):
+        for shard, source, at, n in shard_draws(group, first, owed, mixing.SHARD_BLOCKS, group_shards):
+            assert at == drawn[source]
+            drawn[source] += n
+            sizes[shard] += n
+    assert {plan[k].source: n for k, n in drawn.items()} == {q.source: q.drawn for q in plan if q.drawn}
+    shards = -(-sum(sizes.values()) // mixing.SHARD_BLOCKS)
+    assert sorted(sizes) == [*range(shards)] and {sizes[k] for k in range(shards - 1)} <= {mixing.SHARD_BLOCKS}
 
 
 def test_mix_holds_every_token_at_its_share(spark):
@@ -109,6 +130,7 @@ def test_mix_of_nothing(spark):
     assert made.count() == 0 and report.first().actual_share == 0.0
 
 
+LANG = "Vereinheitlichungsbestrebungen berücksichtigen Wettbewerbsverzerrungen, Rechtsunsicherheiten, Verwaltungsvereinfachungen und Übergangsbestimmungen. "
 EASY, HARD = "The cat sat on the mat and it was happy. ", "Notwithstanding considerable heterogeneity, the methodological reconstruction substantiates interpretative uncertainty. "
 
 
@@ -121,12 +143,14 @@ def test_prose():
 
 
 def test_levels(spark):
-    docs = [(k, (EASY if k % 2 else HARD) * 12) for k in range(20)] + [(50, None), (51, ""), (52, EASY), (53, HARD * 12)]
+    docs = [(k, (EASY if k % 2 else HARD) * 12) for k in range(20)] + [(50, None), (51, ""), (52, EASY), (53, HARD * 12), (54, "Der Hund ist da. Er ist froh. " * 9), (55, LANG * 9)]
     documents = spark.createDataFrame([(*d, "extra") for d in docs], "doc_id bigint, text string, reading_level string")
     labels = spark.createDataFrame([(k, "r", 1 if k % 2 else 5) for k in range(16)] + [(3, "q", None), (99, "q", 3), (None, "q", 2), (4, "q", 9)], "doc_id bigint, rater string, reading_level int")
     got = {r.doc_id: r for r in reading_levels(documents, fit(documents, labels)).collect()}
     assert [got[k].reading_level for k in (17, 18, 53)] == [1, 5, 5]
-    assert [(got[k].prose_words, got[k].reading_level) for k in (50, 51)] == [(0, None), (0, None)] and got[52].reading_level is None
+    assert [(got[k].prose_words, got[k].reading_level, got[k].basis) for k in (50, 51)] == [(0, 1, "none")] * 2
+    assert (got[52].reading_level, got[52].basis, got[17].basis) == (1, "shape", "prose")
+    assert [(got[k].reading_level, got[k].basis) for k in (54, 55)] == [(1, "shape"), (5, "shape")] and len(got) == len(docs)
     nothing = fit(documents, labels.limit(0))
-    assert isinstance(nothing, LevelModel) and nothing.level(["cat"]) in range(1, 6)
+    assert isinstance(nothing.english, LevelModel) and nothing.english.level(["cat"]) in range(1, 6) and nothing.shape.level(["#3"]) in range(1, 6)
     assert reading_levels(documents.limit(0), nothing).count() == 0

@@ -4,6 +4,7 @@ import pytest
 
 from auditloom.llm import top_n as module
 from auditloom.llm.top_n import top_n
+from auditloom.operators import hot
 
 SCHEMA = "g string, score double, impact double, rule string, id bigint, __g string, lo int"
 ORDER = [("score", True), ("impact", True), ("rule", False), ("id", False)]
@@ -27,7 +28,7 @@ def _brute(rows, n):
     return sorted(((g, r[4]) for g, rs in groups.items() for r in rs[:n]), key=str)
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     scores = [0.0, 1.5, 1.5000000000000002, -3.0, 1e300, -1e300, float("inf"), float("-inf"), 5e-324, None]
     rules = ["a", "b", "ab", "abcdefg", "abcdefgh", "abcdefghi", "", "zé", "z€" * 20, None]
@@ -35,6 +36,10 @@ def test_against_brute_force(spark):
     rows += rows[:60] + [(None, 1.0, 1.0, "x", k) for k in range(9)]
     for n in (1, 5):
         assert _run(spark, rows, n) == _brute(rows, n)
+    # groups too many for a broadcast: rows of the largest are split
+    monkeypatch.setattr(module, "MOST_BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(hot, "LEAST_HOT", 200)
+    assert _run(spark, rows, 5) == _brute(rows, 5)
 
 
 @pytest.mark.parametrize("parts", [2, 512])
@@ -47,3 +52,9 @@ def test_ties_are_cut_by_the_identifier(spark, monkeypatch, parts):
 def test_edges(spark):
     assert _run(spark, [], 5) == []
     assert _run(spark, [("g", float("nan"), None, None, 1), ("g", -0.0, 1.0, "b", 2), ("g", 0.0, 1.0, "a", 3)], 2) == [("g", 2), ("g", 3)]
+
+
+def test_nan_and_null_are_apart(spark):
+    nan = float("nan")
+    rows = [("g", nan, 1.0, "a", 1), ("g", None, 1.0, "a", 1), ("g", nan, 1.0, "a", 1), ("g", None, None, None, None)]
+    assert _run(spark, rows, 1) == [("g", 1)] and len(_run(spark, rows, 2)) == 2 and len(_run(spark, rows, 3)) == 3
