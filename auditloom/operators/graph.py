@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions import urls as ux
-from auditloom.operators.rules import COMPARED_WORDS, FINDING, finding, valid
+from auditloom.operators.rules import COMPARED_WORDS, FINDING, finding, listed, valid
 
 
 def shared_values(pages: DataFrame, key: Column, rule_id: str, name: str | None) -> DataFrame:
-    """A finding on each page whose non-empty key occurs on several pages of its audit; evidence: key and number of pages."""
-    keyed = pages.select("audit_id", "tenant_id", F.col("url").alias("page_url"), key.alias("k")).where("k != ''")
-    sizes = keyed.groupBy("audit_id", "k").agg(F.count("*").alias("n")).where("n > 1")
-    evidence = ({name: F.col("k")} if name else {}) | {"pages": F.col("n")}
-    rows = keyed.join(sizes, ["audit_id", "k"])
-    return rows.select("audit_id", "tenant_id", "page_url", F.inline(F.array(finding(rule_id, evidence)))).select(*FINDING)
+    """A finding on each page whose non-empty key occurs on several pages of its audit; evidence: key, the addresses of its
+    first pages in order of page_id, and their number."""
+    keyed = pages.select("audit_id", "tenant_id", "page_id", F.col("url").alias("page_url"), key.alias("k")).where("k != ''")
+    several = listed(keyed, ["audit_id", "k"], "page_url", ["page_id", "page_url"], "duplicate_urls").where("pages > 1")
+    evidence = ({name: F.col("k")} if name else {}) | {"duplicate_urls": F.col("duplicate_urls"), "pages": F.col("pages")}
+    rows = keyed.join(several, ["audit_id", "k"])
+    made = finding(rule_id, evidence, others=F.col("pages") - 1)
+    return rows.select("audit_id", "tenant_id", "page_url", F.inline(F.array(made))).select(*FINDING)
 
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:

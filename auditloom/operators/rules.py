@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
@@ -34,6 +34,57 @@ SEVERITIES = {
     "technical.url_too_long": "info", "technical.url_excessive_parameters": "info",
     "technical.url_non_descriptive_id": "info", "keywords.cannibalization": "warning",
 }
+#: text of a finding, and the evidence that fills it: as it is, quoted (q:) or by its number of items (n:)
+MESSAGES = {
+    "onpage.title_missing": ("Page is missing a <title> tag",),
+    "onpage.title_empty": ("Page <title> tag is empty",),
+    "onpage.title_too_short": ("Title tag is too short (%d characters). Optimal length is 30–60 characters.", "length"),
+    "onpage.title_too_long": ("Title tag is too long (%d characters) and may be truncated in search results.", "length"),
+    "onpage.title_duplicate": ("Title tag is identical to %d other page(s) on the site", "others"),
+    "onpage.meta_description_missing": ("Page is missing a meta description tag",),
+    "onpage.meta_description_empty": ("Meta description tag is empty",),
+    "onpage.meta_description_too_short": ("Meta description is very short (%d characters). Recommended is 70–160 characters.", "length"),
+    "onpage.meta_description_too_long": ("Meta description is too long (%d characters) and will likely be truncated.", "length"),
+    "onpage.meta_description_duplicate": ("Meta description is identical to %d other page(s) on the site", "others"),
+    "onpage.heading_empty": ("H%d heading tag is empty", "heading_level"),
+    "onpage.heading_skipped_level": ("Heading hierarchy skipped levels from H%d directly to H%d", "from_level", "to_level"),
+    "onpage.h1_missing": ("Page is missing an <h1> heading tag",),
+    "onpage.h1_multiple": ("Page has %d <h1> tags. Pages should generally have a single primary <h1>.", "h1_count"),
+    "onpage.url_slug_keyword_mismatch": ("Keywords from URL slug are not present in either the Title tag or primary H1 heading.",),
+    "onpage.image_alt_missing": ("Image is missing an alt attribute",),
+    "onpage.image_alt_is_filename": ("Image alt text simply repeats the file name instead of describing the image",),
+    "onpage.generic_anchor_text": ("Internal link uses generic anchor text (%s) instead of descriptive keywords", "q:anchor_text"),
+    "onpage.thin_content": ("Page has thin content (%d words). Aim for at least 250+ substantive words.", "word_count"),
+    "onpage.readability_difficult": (
+        "Content has a very difficult Flesch Reading Ease score (%.1f/100). Consider simplifying sentence structure.", "flesch_score"
+    ),
+    "onpage.duplicate_content": ("Page body content is near-identical to %d other page(s)", "others"),
+    "onpage.orphan_page": ("Page is an orphan page with 0 internal inbound links discovered from other pages on the site",),
+    "technical.status_4xx": ("Page returned a client error HTTP status code (%d)", "status_code"),
+    "technical.status_5xx": ("Page returned a server error HTTP status code (%d)", "status_code"),
+    "technical.page_unreachable": ("Page unreachable: %s", "error"),
+    "technical.http_unencrypted": ("Page is served over insecure plaintext HTTP instead of encrypted HTTPS",),
+    "technical.mixed_content": ("HTTPS page loads %d insecure HTTP image(s) (Mixed Content)", "n:insecure_resources"),
+    "technical.canonical_missing": ('Page is missing a rel="canonical" link tag to specify its preferred indexing URL',),
+    "technical.canonical_relative": ("Canonical URL should be an absolute URL, not a relative path",),
+    "technical.canonical_external_domain": ("Canonical tag points to an external domain (%s)", "canonical_host"),
+    "technical.meta_noindex": ("Page has a meta robots 'noindex' directive instructing search engines not to index it",),
+    "technical.viewport_missing": ('Page is missing a <meta name="viewport"> tag required for mobile-responsive rendering',),
+    "technical.viewport_invalid": (
+        "Viewport meta tag is present but missing standard responsive directives (width=device-width, initial-scale=1)",
+    ),
+    "technical.hreflang_invalid_code": ("Invalid hreflang language/region code format (%s)", "q:hreflang"),
+    "technical.url_too_long": ("URL is overly long (%d characters). Concise URLs are easier for search engines to crawl.", "length"),
+    "technical.url_excessive_parameters": (
+        "URL contains %d query parameters. Excessive URL parameters create crawl inefficiency.", "params_count"
+    ),
+    "technical.url_non_descriptive_id": ("URL uses a non-descriptive parameter (?id=...) instead of human-readable keyword slugs",),
+    "technical.canonical_chain_conflict": (
+        "Canonical chain conflict detected: page points to %s, which canonicals to %s", "target_1", "target_2"
+    ),
+    "technical.hreflang_missing_reciprocal": ("hreflang tag pointing to %s is missing a reciprocal link back to this page", "target_page"),
+}
+NO_ANSWER = "Page was unreachable during crawl"
 GENERIC_ANCHORS = [
     "click here", "read more", "learn more", "here", "link", "more", "details", "view more", "continue reading", "website",
 ]
@@ -41,10 +92,12 @@ LANGUAGE_CODE = "^[a-z]{2,3}(-[A-Za-z0-9]{2,8})?$"
 SHORT_TITLE, LONG_TITLE, SHORT_DESCRIPTION, LONG_DESCRIPTION = 30, 60, 70, 160
 THIN_WORDS, READABLE_WORDS, DIFFICULT_EASE, COMPARED_WORDS = 250, 100, 30.0, 50
 LONG_URL_BYTES, MOST_PARAMETERS = 100, 3
+#: addresses that a finding about several pages lists; an audit's crawl has no more pages, and the number of all is told too
+MOST_LISTED = 50
 # ------------------------------------------------------------------------------------------------------------------------------
 
 Values = Callable[[Column], dict[str, Column]]
-FINDING = ["audit_id", "tenant_id", "page_url", "category", "rule_id", "severity", "evidence"]
+FINDING = ["audit_id", "tenant_id", "page_url", "category", "rule_id", "severity", "message", "evidence"]
 
 
 @dataclass(frozen=True)
@@ -58,17 +111,50 @@ class Rule:
     values: Values | None = None
 
 
-def finding(rule_id: str, evidence: dict[str, Column]) -> Column:
-    """category, rule_id, severity and evidence (JSON) of one finding."""
+def quoted(text: Column) -> Column:
+    """In double quotes; quotes and backslashes inside are escaped."""
+    inner = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), inner, F.lit('"'))
+
+
+def _message(rule_id: str, values: dict[str, Column]) -> Column:
+    template, *names = MESSAGES[rule_id]
+    if not names:
+        return F.lit(template)
+    shapes: dict[str, Callable[[Column], Column]] = {"q": quoted, "n": F.size, "": lambda c: c}
+    made = F.format_string(template, *[shapes[kind](values[name]) for kind, _, name in (("", "", n) if ":" not in n else n.partition(":") for n in names)])
+    return F.when(values["error"] != "", made).otherwise(F.lit(NO_ANSWER)) if names == ["error"] else made
+
+
+def finding(rule_id: str, evidence: dict[str, Column], message: Column | None = None, **told: Column) -> Column:
+    """category, rule_id, severity, message and evidence (JSON) of one finding. `told` fills the message only."""
     pairs = F.to_json(F.struct(*[v.alias(k) for k, v in evidence.items()])) if evidence else F.lit("{}")
     return F.struct(
         F.lit(rule_id.partition(".")[0]).alias("category"),
         F.lit(rule_id).alias("rule_id"),
         F.lit(SEVERITIES.get(rule_id, "info")).alias("severity"),
+        (_message(rule_id, evidence | told) if message is None else message).alias("message"),
         pairs.alias("evidence"),
     )
 
 
+def listed(rows: DataFrame, keys: Sequence[str], url: str, order: Sequence[str], name: str) -> DataFrame:
+    """keys, pages (rows of each key) and an array `name` of its first MOST_LISTED addresses in order.
+
+    The cut is made before the shuffle as well as after it, so a key that a third of all pages share is not gathered.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = rows.withColumn("__place", place).where(F.col("__place") <= MOST_LISTED)
+    lists = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__place", F.col(url).alias("__url")))).alias("__l"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("pages"))
+    return counts.join(lists.select(*keys, F.col("__l.__url").alias(name)), list(keys))
+
+
+def identified(findings: DataFrame, at: Column) -> DataFrame:
+    """Findings with a finding_id, which is the same in every run, and created_at. Equal findings of a page are one."""
+    return findings.select(F.xxhash64(*FINDING).alias("finding_id"), *FINDING, at.alias("created_at")).dropDuplicates(["finding_id"])
+
+
 def _found(rule: Rule) -> Column:
     if rule.each is None:
         return F.when(rule.when, F.array(finding(rule.rule_id, rule.evidence or {})))

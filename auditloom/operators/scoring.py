@@ -31,6 +31,42 @@ RULE_EFFORTS = {
         "keywords.cannibalization"
     ).split(),
 }
+RULE_TITLES = {
+    "onpage.title_missing": "Missing Title Tag",
+    "onpage.title_too_short": "Title Tag Too Short",
+    "onpage.title_too_long": "Title Tag Too Long",
+    "onpage.title_duplicate": "Duplicate Title Tags",
+    "onpage.meta_description_missing": "Missing Meta Description",
+    "onpage.meta_description_too_short": "Meta Description Too Short",
+    "onpage.meta_description_too_long": "Meta Description Too Long",
+    "onpage.meta_description_duplicate": "Duplicate Meta Description",
+    "onpage.h1_missing": "Missing H1 Heading",
+    "onpage.h1_multiple": "Multiple H1 Headings",
+    "onpage.heading_skipped_level": "Skipped Heading Levels",
+    "onpage.image_missing_alt": "Missing Image Alt Attributes",
+    "onpage.image_filename_as_alt": "Image Filename Used as Alt Text",
+    "onpage.thin_content": "Thin Content (<250 words)",
+    "onpage.flesch_reading_difficult": "Low Readability Score",
+    "onpage.generic_anchor_text": "Generic Link Anchor Text",
+    "onpage.orphan_page": "Orphan Page (No Inbound Internal Links)",
+    "onpage.duplicate_body": "Duplicate Body Content Across Pages",
+    "technical.status_4xx": "Broken Page (4xx Client Error)",
+    "technical.status_5xx": "Server Error (5xx Internal Error)",
+    "technical.unreachable": "Unreachable Page",
+    "technical.canonical_missing": "Missing Canonical Tag",
+    "technical.canonical_relative": "Relative Canonical URL",
+    "technical.canonical_external": "External Canonical Tag",
+    "technical.canonical_chain": "Canonical Chain / Conflict",
+    "technical.mixed_content": "Insecure Mixed Content on HTTPS",
+    "technical.viewport_missing": "Missing Mobile Viewport Tag",
+    "technical.viewport_invalid": "Invalid Mobile Viewport Tag",
+    "technical.hreflang_invalid_code": "Invalid Hreflang Language Code",
+    "technical.hreflang_missing_reciprocal": "Missing Reciprocal Hreflang Tag",
+    "technical.url_too_long": "Excessively Long URL (>200 chars)",
+    "technical.excessive_query_params": "Excessive URL Query Parameters (>3)",
+    "keywords.cannibalization": "Keyword Cannibalization (Multiple Pages Competing)",
+    "keywords.missing_primary": "Missing Primary Keyword Focus",
+}
 # ------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -114,10 +150,11 @@ def _effort(rule: Column) -> Column:
 
 
 def issue_rollup(findings: DataFrame, inbound: DataFrame) -> DataFrame:
-    """Issues of each audit: one row for each rule, with category, worst severity, message, pages, impact and priority.
+    """Issues of each audit: one row for each rule, with tenant, category, worst severity, title, message, pages, impact and
+    priority.
 
-    Findings need finding_id, audit_id, page_url, category, rule_id, severity, message and created_at. The category is the
-    first finding's (by time, then id), the message that of the first finding of the worst severity. Impact is the sum of
+    Findings need finding_id, audit_id, tenant_id, page_url, category, rule_id, severity, message and created_at. Tenant and
+    category are the first finding's (by time, then id), the message that of the first finding of the worst severity. Impact is the sum of
     severity weight times page importance, priority is impact by the rule's effort; both have two digits.
     """
     place = F.struct(F.col("created_at").isNull(), "created_at", "finding_id")
@@ -126,11 +163,11 @@ def issue_rollup(findings: DataFrame, inbound: DataFrame) -> DataFrame:
     known = findings.join(inbound, ["audit_id", "page_url"], "left")
     impact = (weight * page_importance(F.col("page_url"), F.coalesce("inbound", F.lit(0)))).cast("decimal(18,6)")
     rows = known.select(
-        "audit_id", "rule_id", "page_url", "category", "severity", "message", place.alias("place"), rank.alias("rank"), impact.alias("impact")
+        "audit_id", "tenant_id", "rule_id", "page_url", "category", "severity", "message", place.alias("place"), rank.alias("rank"), impact.alias("impact")
     )
     worst = F.struct(-F.col("rank"), "place")
     grouped = rows.groupBy("audit_id", "rule_id").agg(
-        F.min_by("category", "place").alias("category"),
+        F.min_by(F.struct("tenant_id", "category"), "place").alias("first"),
         F.min_by(F.struct("severity", "message"), worst).alias("top"),
         F.sort_array(F.collect_set(F.when(F.col("page_url") != "", F.col("page_url")))).alias("affected_urls"),
         F.sum("impact").alias("total"),
@@ -139,7 +176,8 @@ def issue_rollup(findings: DataFrame, inbound: DataFrame) -> DataFrame:
     cost = _by_severity(F.col("effort_tier"), EFFORT_COSTS, EFFORT_COSTS[UNKNOWN_EFFORT])
     total = F.col("total").cast("double")
     return grouped.withColumn("effort_tier", effort).select(
-        "audit_id", "rule_id", "category", F.col("top.severity").alias("severity"), F.col("top.message").alias("message"), "effort_tier",
+        "audit_id", F.col("first.tenant_id").alias("tenant_id"), "rule_id", F.col("first.category").alias("category"),
+        F.col("top.severity").alias("severity"), rule_title(F.col("rule_id")).alias("title"), F.col("top.message").alias("message"), "effort_tier",
         F.round(total, 2).alias("impact_score"), F.round(total / cost, 2).alias("priority_score"),
         F.size("affected_urls").alias("affected_pages_count"), "affected_urls",
     )
@@ -152,9 +190,10 @@ def issue_places(issues: DataFrame) -> DataFrame:
 
 
 def rule_title(rule: Column) -> Column:
-    """Readable name of a rule from its id: the second part, words capitalised."""
+    """Title of a rule; one that has none gets the second part of its id, words capitalised."""
+    known = F.create_map(*[F.lit(x) for pair in RULE_TITLES.items() for x in pair])
     name = F.coalesce(F.get(F.split(rule, r"\."), F.lit(1)), rule)
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return F.coalesce(F.try_element_at(known, rule), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
 def score_band(score: Column) -> Column:

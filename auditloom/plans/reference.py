@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions import urls as ux
-from auditloom.operators import graph, keywords, report, rules, scoring
+from auditloom.operators import audit, graph, keywords, report, rules, scoring
 from auditloom.operators.html_facts import parsed_pages
 from auditloom.sources.crawl import crawl_summary
 from auditloom.session import table, written
@@ -175,7 +175,7 @@ def text_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
 def duplicate_contents(spark: SparkSession, directory: str) -> DataFrame:
     """Documents of a site that share a sampled fingerprint."""
     rows = _texts(spark, directory).select(
-        "audit_id", F.lit("").alias("tenant_id"), F.col("page_id").cast("string").alias("url"), F.lit("success").alias("parse_status"),
+        "audit_id", F.lit("").alias("tenant_id"), "page_id", F.col("page_id").cast("string").alias("url"), F.lit("success").alias("parse_status"),
         F.lit(200).alias("status_code"), "body_text", tx.word_count(F.col("body_text")).alias("word_count"),
     )
     found = graph.duplicate_contents(rows)
@@ -277,10 +277,14 @@ _FINDINGS = "f AS (SELECT * FROM audit_findings QUALIFY row_number() OVER (PARTI
 _SCORES = f"""{_FINDINGS}, d AS (SELECT audit_id, page_url, severity,
       CASE severity WHEN 'critical' THEN 15 WHEN 'warning' THEN 5 ELSE 1 END AS d,
       CASE WHEN lower(coalesce(category, '')) = 'technical' THEN 't' WHEN lower(coalesce(category, '')) IN ('keywords', 'content') THEN 'c' ELSE 'o' END AS k FROM f),
-    s AS (SELECT audit_id, page_url, greatest(0, 100 - coalesce(sum(d) FILTER (k = 't'), 0)) AS technical_score,
+    g0 AS (SELECT audit_id, page_url, greatest(0, 100 - coalesce(sum(d) FILTER (k = 't'), 0)) AS technical_score,
       greatest(0, 100 - coalesce(sum(d) FILTER (k = 'o'), 0)) AS onpage_score, greatest(0, 100 - coalesce(sum(d) FILTER (k = 'c'), 0)) AS content_score,
       count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'warning') AS warning_count,
       count(*) FILTER (severity = 'info') AS info_count FROM d GROUP BY ALL),
+    u AS (SELECT DISTINCT audit_id, url AS page_url FROM crawl_pages WHERE audit_id IS NOT NULL AND url IS NOT NULL),
+    s AS (SELECT audit_id, page_url, coalesce(technical_score, 100) AS technical_score, coalesce(onpage_score, 100) AS onpage_score,
+      coalesce(content_score, 100) AS content_score, coalesce(critical_count, 0) AS critical_count, coalesce(warning_count, 0) AS warning_count,
+      coalesce(info_count, 0) AS info_count FROM g0 FULL JOIN u USING (audit_id, page_url)),
     o AS (SELECT *, CAST(round(round(0.4 * technical_score + 0.35 * onpage_score + 0.25 * content_score, 10)) AS INT) AS overall_score FROM s)"""
 
 
@@ -298,7 +302,7 @@ def technical_scan(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT * FROM o")
 def page_scores(spark: SparkSession, directory: str) -> DataFrame:
-    """Scores of every page. The SQL leaves out the pages without findings, which score 100."""
+    """Scores of every page; pages without findings score 100."""
     return _page_scores(spark, directory)
 
 
@@ -307,7 +311,7 @@ def page_scores(spark: SparkSession, directory: str) -> DataFrame:
       sum(info_count) AS info_count, count(*) AS total_pages FROM o GROUP BY audit_id)
     SELECT *, CAST(round(round(0.4 * technical_score + 0.35 * onpage_score + 0.25 * content_score, 10)) AS INT) AS overall_score FROM a""")
 def audit_scores(spark: SparkSession, directory: str) -> DataFrame:
-    """Scores of every audit over all its pages. The SQL leaves out the pages without findings."""
+    """Scores of every audit over all its pages."""
     return scoring.audit_scores(_page_scores(spark, directory))
 
 
@@ -325,6 +329,9 @@ def inbound_degree(spark: SparkSession, directory: str) -> DataFrame:
     return _degree(spark, directory)
 
 
+_FALLBACK = """array_to_string(list_transform(string_split(CASE WHEN contains(rule_id, '.') THEN split_part(rule_id, '.', 2) ELSE rule_id END, '_'),
+      lambda w: upper(w[1]) || lower(w[2:])), ' ')"""
+_TITLE = f"CASE rule_id {' '.join(f"WHEN '{rule}' THEN '{title}'" for rule, title in scoring.RULE_TITLES.items())} ELSE {_FALLBACK} END"
 _DEPTH = f"trim(regexp_extract(page_url, {_URL}, 3), '/')"
 _ISSUES = f"""WITH {_FINDINGS}, links AS ({_LINKS}),
     w AS (SELECT f.*, CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END AS worth,
@@ -335,11 +342,11 @@ _ISSUES = f"""WITH {_FINDINGS}, links AS ({_LINKS}),
     p AS (SELECT *, row_number() OVER (PARTITION BY audit_id, rule_id ORDER BY created_at NULLS LAST, finding_id) AS first,
       row_number() OVER (PARTITION BY audit_id, rule_id ORDER BY worth DESC, created_at NULLS LAST, finding_id) AS worst FROM w),
     g AS (SELECT audit_id, rule_id, max(category) FILTER (first = 1) AS category, max(severity) FILTER (worst = 1) AS severity,
-      max(message) FILTER (worst = 1) AS message, coalesce(array_to_string(list_sort(list(DISTINCT page_url) FILTER (page_url <> '')), ' '), '') AS affected_urls,
+      max(tenant_id) FILTER (first = 1) AS tenant_id, max(message) FILTER (worst = 1) AS message, coalesce(array_to_string(list_sort(list(DISTINCT page_url) FILTER (page_url <> '')), ' '), '') AS affected_urls,
       count(DISTINCT page_url) FILTER (page_url <> '') AS affected_pages_count, sum(CAST(impact AS DECIMAL(18, 6))) AS total FROM p GROUP BY ALL),
     i AS (SELECT *, CASE WHEN rule_id IN ({", ".join(f"'{r}'" for r in scoring.RULE_EFFORTS["low"])}) THEN 'low'
       WHEN rule_id IN ({", ".join(f"'{r}'" for r in scoring.RULE_EFFORTS["high"])}) THEN 'high' ELSE 'medium' END AS effort_tier FROM g),
-    r AS (SELECT * EXCLUDE (total), round(total::DOUBLE, 2) AS impact_score,
+    r AS (SELECT * EXCLUDE (total), {_TITLE} AS title, round(total::DOUBLE, 2) AS impact_score,
       round(total::DOUBLE / CASE effort_tier WHEN 'low' THEN 1.0 WHEN 'high' THEN 3.0 ELSE 2.0 END, 2) AS priority_score FROM i)"""
 
 
@@ -350,8 +357,7 @@ def issue_rollup(spark: SparkSession, directory: str) -> DataFrame:
     return made.withColumn("affected_urls", F.array_join("affected_urls", " "))
 
 
-@query("""SELECT DISTINCT rule_id, array_to_string(list_transform(string_split(CASE WHEN contains(rule_id, '.') THEN split_part(rule_id, '.', 2) ELSE rule_id END, '_'),
-      lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM prioritized_issues""")
+@query(f"SELECT DISTINCT rule_id, {_TITLE} AS title FROM prioritized_issues")
 def rule_titles(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "prioritized_issues").select("rule_id").distinct()
     return rows.select("rule_id", scoring.rule_title(F.col("rule_id")).alias("title"))
@@ -410,6 +416,31 @@ def cross_page_findings(spark: SparkSession, directory: str) -> DataFrame:
     return graph.cross_page_findings(_parsed(spark, directory))
 
 
+@query()
+def keyword_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings on pages that compete for a keyword."""
+    return keywords.conflict_findings(table(spark, directory, "page_keywords").select(
+        "audit_id", "tenant_id", F.col("keyword_id").alias("page_id"), "page_url", "primary_keyword").distinct())
+
+
+@query()
+def audited_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings of all analyses of the crawled pages."""
+    return audit.findings(_parsed(spark, directory), F.lit(None).cast("timestamp"))
+
+
+@query()
+def audited_issues(spark: SparkSession, directory: str) -> DataFrame:
+    """Issues of the crawled pages, from their html to the ordered list."""
+    return audit.run(_pages(spark, directory)).issues
+
+
+@query()
+def audited_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """Scores of the audits of the crawled pages, from their html."""
+    return audit.run(_pages(spark, directory)).totals
+
+
 # --- audits, events, deliveries, reports ------------------------------------------------------------------------------------------
 @query("""SELECT audit_id, status, updated_at FROM (SELECT DISTINCT audit_id, status, updated_at FROM audits)
     QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST) = 1""")
@@ -457,14 +488,15 @@ def latest_reports(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(f"""{_ISSUES},
     n AS (SELECT audit_id, count(*) AS issues, max(priority_score) AS best FROM r GROUP BY audit_id),
-    pages AS (SELECT audit_id, count(DISTINCT coalesce(page_url, chr(0))) AS pages FROM f GROUP BY audit_id),
+    pages AS (SELECT audit_id, count(*) AS pages FROM (WITH {_SCORES} SELECT * FROM o) GROUP BY audit_id),
     k AS (SELECT audit_id, count(*) AS keywords FROM ({_MAP}) GROUP BY audit_id),
     a AS (SELECT audit_id, status FROM (SELECT DISTINCT audit_id, status, updated_at FROM audits)
       QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST) = 1)
-    SELECT a.audit_id, issues, best, pages, coalesce(keywords, 0) AS keywords, coalesce(status = 'completed_with_warnings', false) AS has_warnings
-    FROM a JOIN n USING (audit_id) JOIN pages USING (audit_id) LEFT JOIN k USING (audit_id)""")
+    SELECT a.audit_id, coalesce(issues, 0) AS issues, best, pages, coalesce(keywords, 0) AS keywords,
+      coalesce(status = 'completed_with_warnings', false) AS has_warnings
+    FROM a JOIN pages USING (audit_id) LEFT JOIN n USING (audit_id) LEFT JOIN k USING (audit_id)""")
 def report_contents(spark: SparkSession, directory: str) -> DataFrame:
-    """What the report of each audit holds. The SQL leaves out pages without findings and audits without any finding."""
+    """What the report of each audit holds."""
     made = _assembled(spark, directory)
     return made.select(
         "audit_id", F.size("issues").alias("issues"), F.get("issues", F.lit(0))["priority_score"].alias("best"),

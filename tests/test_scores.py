@@ -3,11 +3,11 @@ from pyspark.sql import functions as F
 from auditloom.operators import report, scoring
 from auditloom.plans import reference
 
-FINDING = "finding_id bigint, audit_id string, page_url string, category string, rule_id string, severity string, message string, created_at timestamp"
+FINDING = "finding_id bigint, audit_id string, tenant_id string, page_url string, category string, rule_id string, severity string, message string, created_at timestamp"
 
 
 def _findings(spark, *rows):
-    return spark.createDataFrame([(k, "A", u, c, r, s, f"m{k}", None) for k, (u, c, r, s) in enumerate(rows)], FINDING)
+    return spark.createDataFrame([(k, "A", "t", u, c, r, s, f"m{k}", None) for k, (u, c, r, s) in enumerate(rows)], FINDING)
 
 
 def test_page_scores(spark):
@@ -38,6 +38,7 @@ def test_rollup(spark):
     alt = got["onpage.image_alt_missing"]
     assert (alt.severity, alt.message, alt.impact_score, alt.priority_score, alt.affected_pages_count) == ("warning", "m2", 11.5, 5.75, 2)
     assert got["onpage.thin_content"].affected_urls == ["https://a.example/x/y"]
+    assert (got["onpage.title_missing"].title, alt.title, alt.tenant_id) == ("Missing Title Tag", "Image Alt Missing", "t")
 
 
 def test_rule_title(spark):
