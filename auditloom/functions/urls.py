@@ -7,6 +7,7 @@ The spellings of one address differ on purpose by what they are for: `crawl_addr
 from __future__ import annotations
 
 import ipaddress
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -138,19 +139,22 @@ def first_parameter(url: Column, name: str) -> Column:
     return F.regexp_replace(F.get(mine, F.lit(0)), "^[^=]*=?", "")
 
 
+@cache
+def _ranges() -> list[ipaddress.IPv4Network | ipaddress.IPv6Network]:
+    return [ipaddress.ip_network(r) for r in RESERVED_RANGES]
+
+
+def reserved(address: str) -> bool:
+    """Whether an address lies in a range that must not be fetched. What is no address counts as reserved."""
+    try:
+        ip = ipaddress.ip_address(address.strip())
+    except ValueError:
+        return True
+    mapped = getattr(ip, "ipv4_mapped", None)
+    return any((mapped or ip) in r for r in _ranges())
+
+
 @F.pandas_udf(T.BooleanType())
 def is_reserved_ip(address: pd.Series) -> pd.Series:
-    """Whether an address lies in a range that must not be fetched. Null stays null; what is no address counts as reserved."""
-    ranges = [ipaddress.ip_network(r) for r in RESERVED_RANGES]
-
-    def one(text: str | None) -> bool | None:
-        if text is None:
-            return None
-        try:
-            ip = ipaddress.ip_address(text.strip())
-        except ValueError:
-            return True
-        mapped = getattr(ip, "ipv4_mapped", None)
-        return any((mapped or ip) in r for r in ranges)
-
-    return address.map(one).astype("object")
+    """`reserved` as a column. Null stays null."""
+    return address.map(lambda text: None if text is None else reserved(text)).astype("object")

@@ -114,19 +114,56 @@ def sitemap_pages(fetch: Fetcher, url: str, listed: list[str]) -> list[str]:
     return list(pages)
 
 
+# --- fixed values: why a crawl fails ---
+DISALLOWED = "crawling disallowed by site robots.txt policy"
+NO_ADDRESS = "invalid normalized URL"
+NO_PAGE = "zero pages could be fetched successfully from target domain"
+# ---------------------------------------
+_SEED = "audit_id string, tenant_id string, url string, place bigint, reason string"
+
+
+def seeded(seeds: DataFrame, fetch: Fetcher, limits: Limits = Limits()) -> DataFrame:
+    """The first frontier: the root of every seed (audit_id, tenant_id, url) and the pages that its sitemaps list, with their
+    `place` in order of discovery. A root that is no web address or that robots texts forbid gives one row with a `reason`."""
+
+    def found(url: str | None) -> tuple[list[str], str | None]:
+        try:
+            parts = urlsplit(url or "")
+        except ValueError:
+            return [], NO_ADDRESS
+        if parts.scheme.lower() not in ("http", "https") or not parts.netloc:
+            return [], NO_ADDRESS
+        robots = read_robots(fetch, url, limits.agent)
+        if not robots.allows(limits.agent, url):
+            return [], DISALLOWED
+        return list(dict.fromkeys([frontier_address(url), *sitemap_pages(fetch, url, robots.sitemaps)])), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("audit_id", pa.string()), ("tenant_id", pa.string()), ("url", pa.string()), ("place", pa.int64()), ("reason", pa.string())])
+        for batch in batches:
+            for item in batch.to_pylist():
+                urls, reason = found(item["url"])
+                rows = [item | {"url": u, "place": k, "reason": None} for k, u in enumerate(urls)] or [item | {"place": 0, "reason": reason}]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    rows = seeds.select("audit_id", "tenant_id", "url").distinct()
+    made = rows.repartition(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)).mapInArrow(run, _SEED)
+    return made.groupBy("audit_id", "tenant_id", "url").agg(F.min("place").alias("place"), F.max("reason").alias("reason"))
+
+
 _ROUND = (
-    "audit_id string, tenant_id string, url string, status_code int, content_type string, byte_size bigint, html binary, "
+    "audit_id string, tenant_id string, url string, place bigint, status_code int, content_type string, byte_size bigint, html binary, "
     "fetch_duration_ms bigint, error_message string, discovered_links array<string>"
 )
 
 
 def fetch_round(frontier: DataFrame, fetch: Fetcher, limits: Limits = Limits(), wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Pages of the frontier (audit_id, tenant_id, url). Addresses that robots texts forbid give no row; no answer gives
+    """Pages of the frontier (audit_id, tenant_id, url, place). Addresses that robots texts forbid give no row; no answer gives
     status 0 and the error. Only successful HTML is kept and searched for links."""
 
-    def one(audit: str, tenant: str, url: str) -> dict:
-        began = time.monotonic()
-        row: dict = {"audit_id": audit, "tenant_id": tenant, "url": url, "status_code": 0, "content_type": "", "byte_size": 0}
+    def one(item: dict) -> dict:
+        began, url = time.monotonic(), item["url"]
+        row: dict = item | {"status_code": 0, "content_type": "", "byte_size": 0}
         row |= {"html": None, "error_message": "", "discovered_links": []}
         try:
             status, kind, body = fetch(url)
@@ -142,7 +179,7 @@ def fetch_round(frontier: DataFrame, fetch: Fetcher, limits: Limits = Limits(),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Robots] = {}
         schema = pa.schema(
-            [("audit_id", pa.string()), ("tenant_id", pa.string()), ("url", pa.string()), ("status_code", pa.int32()), ("content_type", pa.string()),
+            [("audit_id", pa.string()), ("tenant_id", pa.string()), ("url", pa.string()), ("place", pa.int64()), ("status_code", pa.int32()), ("content_type", pa.string()),
              ("byte_size", pa.int64()), ("html", pa.binary()), ("fetch_duration_ms", pa.int64()), ("error_message", pa.string()), ("discovered_links", pa.list_(pa.string()))]
         )
         for batch in batches:
@@ -153,38 +190,59 @@ def fetch_round(frontier: DataFrame, fetch: Fetcher, limits: Limits = Limits(),
                 else:
                     wait(known[place].pause(limits))
                 if known[place].allows(limits.agent, item["url"]):
-                    yield pa.RecordBatch.from_pylist([one(item["audit_id"], item["tenant_id"], item["url"])], schema)
+                    yield pa.RecordBatch.from_pylist([one(item)], schema)
 
-    rows = frontier.select("audit_id", "tenant_id", "url")
+    rows = frontier.select("audit_id", "tenant_id", "url", "place")
     return rows.repartition(F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)).mapInArrow(run, _ROUND)
 
 
 def next_frontier(pages: DataFrame, visited: DataFrame, limits: Limits) -> DataFrame:
-    """Addresses that pages link to and no round has seen, so many that an audit's visited ones stay within its cap."""
-    links = pages.select("audit_id", "tenant_id", F.explode("discovered_links").alias("url")).distinct()
+    """Addresses that pages link to and no round has seen, in order of discovery (place of the page, then of the link), so
+    many that an audit's visited ones stay within its cap."""
+    links = pages.select("audit_id", "tenant_id", F.col("place").alias("parent"), F.posexplode("discovered_links").alias("pos", "url"))
+    links = links.groupBy("audit_id", "tenant_id", "url").agg(F.min(F.struct("parent", "pos")).alias("at"))
     same = F.col("audit_id").eqNullSafe(F.col("a"))
     new = links.join(visited.select(F.col("audit_id").alias("a"), F.col("url").alias("u")), same & (F.col("url") == F.col("u")), "left_anti")
     counts = visited.groupBy(F.col("audit_id").alias("a")).agg(F.count("*").alias("seen"))
-    place = F.row_number().over(Window.partitionBy("audit_id").orderBy("url"))
-    ranked = new.withColumn("place", place).join(counts, same, "left")
-    return ranked.where(F.col("place") + F.coalesce("seen", F.lit(0)) <= limits.pages).select("audit_id", "tenant_id", "url")
+    order = F.row_number().over(Window.partitionBy("audit_id").orderBy("at", "url"))
+    ranked = new.withColumn("order", order).where(F.col("order") <= limits.pages).join(counts, same, "left")
+    place = F.col("order") + F.coalesce("seen", F.lit(0)) - 1
+    return ranked.select("audit_id", "tenant_id", "url", place.alias("place")).where(F.col("place") < limits.pages)
 
 
-def crawl(seeds: DataFrame, fetch: Fetcher, limits: Limits = Limits(), wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """All pages that are reached from the seeds (audit_id, tenant_id, url), in breadth-first rounds.
+def crawl(
+    seeds: DataFrame, fetch: Fetcher, limits: Limits = Limits(), wait: Callable[[float], None] = time.sleep, start: DataFrame | None = None
+) -> DataFrame:
+    """All pages that are reached from the seeds (audit_id, tenant_id, url) and their sitemaps, in breadth-first rounds.
 
-    It ends when there is no new address; the cap of pages of each audit bounds the rounds.
+    It ends when there is no new address; the cap of pages of each audit bounds the rounds. `start` is `seeded(...)` of the
+    seeds where the caller has it already. `place` of a page tells when it was discovered.
     """
-    frontier = written(seeds.select("audit_id", "tenant_id", "url").distinct(), "crawl-frontier")
-    visited, pages = frontier, None
+    start = written(seeded(seeds, fetch, limits) if start is None else start, "crawl-seeds").where("reason is null")
+    order = F.row_number().over(Window.partitionBy("audit_id").orderBy("place", "url"))
+    first = start.withColumn("order", order).where(F.col("order") <= limits.pages)
+    frontier = written(first.select("audit_id", "tenant_id", "url", (F.col("order") - 1).cast("bigint").alias("place")), "crawl-frontier")
+    visited, pages = start.select("audit_id", "tenant_id", "url"), None
     while not frontier.isEmpty():
         fetched = written(fetch_round(frontier, fetch, limits, wait), "crawl-pages")
         pages = fetched if pages is None else pages.unionByName(fetched)
         frontier = written(next_frontier(fetched, visited, limits), "crawl-frontier")
-        visited = visited.unionByName(frontier)
+        visited = visited.unionByName(frontier.select("audit_id", "tenant_id", "url"))
     return seeds.sparkSession.createDataFrame([], _ROUND) if pages is None else pages
 
 
+def crawl_failures(start: DataFrame, pages: DataFrame) -> DataFrame:
+    """audit_id, tenant_id and reason of every crawl that failed: its root is no address or forbidden, or no page was fetched.
+
+    `start` is what `seeded` gives, `pages` what `crawl` gives for it.
+    """
+    refused = start.where("reason is not null").select("audit_id", "tenant_id", "reason")
+    fetched = pages.where("status_code = 200").select("audit_id").distinct().withColumnRenamed("audit_id", "a")
+    tried = start.where("reason is null").select("audit_id", "tenant_id").distinct()
+    none = tried.join(fetched, F.col("audit_id").eqNullSafe(F.col("a")), "left_anti").withColumn("reason", F.lit(NO_PAGE))
+    return refused.unionByName(none).distinct()
+
+
 def crawl_summary(pages: DataFrame) -> DataFrame:
     """Pages, fetched and failed ones, bytes and time of each audit, and whether the crawl failed for want of any page."""
     ok = F.col("status_code") == 200

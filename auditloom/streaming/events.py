@@ -20,10 +20,14 @@ def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def without_repeats(events: DataFrame, key: str = "msg_id", at: str = "ts", within: str = DEDUPLICATION) -> DataFrame:
-    """First event of each key within the window; the state is bounded by the watermark. Works on streams and on tables."""
+    """First event of each key within the window; the state is bounded by the watermark.
+
+    A table has no watermark: of each key the event of the least time stays, whatever lies between the others.
+    """
     timed = events.withColumn(at, F.col(at).cast("timestamp"))
     if not events.isStreaming:
-        return timed.dropDuplicates([key])
+        first = timed.groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*timed.columns), at).alias("__r"), F.first(F.struct(*timed.columns)).alias("__any"))
+        return first.select(F.coalesce("__r", "__any").alias("__r")).select("__r.*")
     return timed.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 

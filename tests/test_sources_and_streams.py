@@ -1,11 +1,17 @@
 import datetime as dt
 import gzip
+import hmac
+import threading
 import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
-from auditloom.sinks import tables
+from auditloom.session import written
+from auditloom.sinks import report_files, tables
 from auditloom.sources import crawl as cr
+from auditloom.sources.fetch import GuardedFetcher
 from auditloom.sources.snapshots import read_snapshots, write_snapshots
 from auditloom.streaming import events as ev
 
@@ -45,15 +51,75 @@ def test_robots_and_sitemaps():
 def test_crawl_rounds(spark):
     seeds = spark.createDataFrame([("A", "t", "https://a.example")], "audit_id string, tenant_id string, url string")
     pages = {r.url: r for r in cr.crawl(seeds, fetch, wait=lambda s: None).collect()}
-    assert set(pages) == {f"https://a.example{p}" for p in ("", "/one", "/gone", "/file.pdf", "/two")}
+    assert set(pages) == {f"https://a.example{p}" for p in ("", "/s1", "/one", "/gone", "/file.pdf", "/two")}
+    assert [u[17:] for u in sorted(pages, key=lambda u: pages[u].place)] == ["", "/s1", "/one", "/gone", "/file.pdf", "/two"]
     assert pages["https://a.example/gone"].error_message == "no route" and pages["https://a.example/file.pdf"].html is None
     capped = cr.crawl(seeds, fetch, cr.Limits(pages=2), wait=lambda s: None)
-    assert capped.count() == 2
+    assert sorted(r.url for r in capped.collect()) == ["https://a.example", "https://a.example/s1"]
     summary = cr.crawl_summary(cr.crawl(seeds, fetch, wait=lambda s: None)).first()
-    assert (summary.total_pages, summary.total_fetched, summary.total_errors, summary.failed) == (5, 4, 1, False)
+    assert (summary.total_pages, summary.total_fetched, summary.total_errors, summary.failed) == (6, 4, 2, False)
     assert cr.crawl(seeds.limit(0), fetch).count() == 0
 
 
+def test_links_are_taken_in_order_of_discovery(spark):
+    site = {"https://a.example": b'<a href="/z">z</a><a href="/a">a</a>', "https://a.example/z": b'<a href="/y">y</a>', "https://a.example/a": b'<a href="/b">b</a>'}
+    seeds = spark.createDataFrame([("A", "t", "https://a.example/")], "audit_id string, tenant_id string, url string")
+    pages = cr.crawl(seeds, lambda u: (200, "text/html", site[u]) if u in site else (404, "", b""), cr.Limits(pages=4), wait=lambda s: None)
+    assert {r.url: r.place for r in pages.collect()} == {"https://a.example": 0, "https://a.example/z": 1, "https://a.example/a": 2, "https://a.example/y": 3}
+
+
+def test_crawls_that_fail(spark):
+    rows = [("A", "https://a.example"), ("B", "https://a.example/private/x"), ("C", "ftp://c.example"), ("D", None), ("E", "https://e.example"), ("F", "http://[x")]
+    seeds = spark.createDataFrame([(a, "t", u) for a, u in rows], "audit_id string, tenant_id string, url string")
+    start = written(cr.seeded(seeds, fetch), "t")
+    pages = cr.crawl(seeds, fetch, wait=lambda s: None, start=start)
+    got = {r.audit_id: r.reason for r in cr.crawl_failures(start, pages).collect()}
+    assert got == {"B": cr.DISALLOWED, "C": cr.NO_ADDRESS, "D": cr.NO_ADDRESS, "E": cr.NO_PAGE, "F": cr.NO_ADDRESS}
+
+
+def test_guarded_fetcher():
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            step = int(self.path[2:]) if self.path.startswith("/r") else 0
+            self.send_response(302 if step else 200)
+            if step:
+                self.send_header("Location", f"/r{step - 1}")
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"x" * 100)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root = f"http://site.example:{server.server_port}"
+        local = dict(resolve=lambda host, port: ["127.0.0.1"], timeout=5)
+        free = GuardedFetcher(blocked=lambda ip: False, body_bytes=10, **local)
+        assert free(root + "/r5") == (200, "text/html; charset=utf-8", b"x" * 10)
+        for url, guarded in ((root + "/r6", free), (root, GuardedFetcher(**local)), ("ftp://site.example", free), ("http://[x", free)):
+            with pytest.raises(OSError):
+                guarded(url)
+        mixed = GuardedFetcher(resolve=lambda host, port: ["93.184.216.34", "10.0.0.1"])
+        with pytest.raises(OSError, match="10.0.0.1"):
+            mixed("https://site.example/")
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_report_files(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1, "{}", "<p>ä</p>"), ("A", 2, None, "")], "audit_id string, version int, json string, html string")
+    made = written(report_files.write_report_files(rows, str(tmp_path)), "t")
+    tokens = {r.version: r.share_token for r in made.collect()}
+    assert len(set(tokens.values())) == 2 and all(len(t) == 32 for t in tokens.values())
+    read = lambda *a: report_files.read_report_file(made, str(tmp_path), *a)
+    assert read(tokens[1]) == ("<p>ä</p>".encode(), "text/html; charset=utf-8") and read(tokens[1], "json") == (b"{}", "application/json")
+    assert read(tokens[2], "json")[0] == b"" and read("none") is None and (tmp_path / "A" / "v2" / "report.html").exists()
+    assert report_files.signature(b'{"a":1}', "1700000000", "s") == hmac.new(b"s", b'1700000000.{"a":1}', "sha256").hexdigest()
+
+
 def test_crawl_follows_a_long_chain(spark):
     def chain(url):
         k = int(url.rpartition("/p")[2]) if "/p" in url else 0
