@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 _UUID = r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})\}?$"
 
 
-def stripped(c: Column) -> Column:
+def stripped(c: Column | str) -> Column:
     """Without surrounding white space of any script; null stays null."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

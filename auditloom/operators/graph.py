@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions import urls as ux
+from auditloom.functions.ids import stripped
 from auditloom.operators.rules import COMPARED_WORDS, FINDING, finding, listed, valid
 
 
@@ -26,11 +27,11 @@ def shared_values(pages: DataFrame, key: Column, rule_id: str, name: str | None)
 
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
-    return shared_values(valid(pages), F.trim("title"), "onpage.title_duplicate", "title")
+    return shared_values(valid(pages), stripped("title"), "onpage.title_duplicate", "title")
 
 
 def duplicate_descriptions(pages: DataFrame) -> DataFrame:
-    return shared_values(valid(pages), F.trim("meta_description"), "onpage.meta_description_duplicate", "description")
+    return shared_values(valid(pages), stripped("meta_description"), "onpage.meta_description_duplicate", "description")
 
 
 def duplicate_contents(pages: DataFrame) -> DataFrame:

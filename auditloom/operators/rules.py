@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions import urls as ux
+from auditloom.functions.ids import stripped
 
 # --- fixed values: severities of the rules, phrases of links that say nothing, and form of a language code ------------------
 SEVERITIES = {
@@ -184,18 +185,18 @@ def _levels() -> Column:
 
 
 def onpage_rules() -> list[Rule]:
-    title, description = F.trim("title"), F.trim("meta_description")
+    title, description = stripped("title"), stripped("meta_description")
     h1 = F.filter("headings", lambda h: h["level"] == 1)
-    h1_texts = F.filter(F.transform(h1, lambda h: F.trim(h["text"])), lambda t: t != "")
+    h1_texts = F.filter(F.transform(h1, lambda h: stripped(h["text"])), lambda t: t != "")
     words = ux.slug_keywords(F.col("url"))
     corpus = F.lower(F.concat(title, F.lit(" "), F.array_join(h1_texts, " ")))
     ease = tx.reading_ease(F.col("body_text"), F.col("word_count"))
     base = lambda i: F.regexp_extract(i["src"], r"([^/]*)/*$", 1)
-    alt = lambda i: F.lower(F.trim(i["alt"]))
-    missing_alt = lambda i: ~i["has_alt"] | (F.trim(i["alt"]) == "")
+    alt = lambda i: F.lower(stripped(i["alt"]))
+    missing_alt = lambda i: ~i["has_alt"] | (stripped(i["alt"]) == "")
     named = lambda i: alt(i).isin(F.lower(base(i)), F.lower(F.regexp_replace(base(i), r"\.[^.]*$", "")))
     length = lambda c: {"length": F.length(c)}
-    blank = lambda c: (F.col(c) != "") & (F.trim(c) == "")
+    blank = lambda c: (F.col(c) != "") & (stripped(c) == "")
     return [
         Rule("onpage.title_missing", F.col("title") == ""),
         Rule("onpage.title_empty", blank("title")),
@@ -205,14 +206,14 @@ def onpage_rules() -> list[Rule]:
         Rule("onpage.meta_description_empty", blank("meta_description")),
         Rule("onpage.meta_description_too_short", (description != "") & (F.length(description) < SHORT_DESCRIPTION), length(description) | {"description": description}),
         Rule("onpage.meta_description_too_long", F.length(description) > LONG_DESCRIPTION, length(description) | {"description": description}),
-        Rule("onpage.heading_empty", each=F.filter("headings", lambda h: F.trim(h["text"]) == ""), values=lambda h: {"heading_level": h["level"]}),
+        Rule("onpage.heading_empty", each=F.filter("headings", lambda h: stripped(h["text"]) == ""), values=lambda h: {"heading_level": h["level"]}),
         Rule("onpage.heading_skipped_level", each=F.filter(_levels(), lambda h: (h["before"] > 0) & (h["level"] > h["before"] + 1)), values=lambda h: {"from_level": h["before"], "to_level": h["level"], "heading": h["text"]}),
         Rule("onpage.h1_missing", F.size(h1) == 0),
         Rule("onpage.h1_multiple", F.size(h1) > 1, {"h1_count": F.size(h1), "h1_headings": h1_texts}),
         Rule("onpage.url_slug_keyword_mismatch", (F.size(words) > 0) & ~F.exists(words, lambda w: F.contains(corpus, w)), {"slug_keywords": words, "title": title, "h1": h1_texts}),
         Rule("onpage.image_alt_missing", each=F.filter("images", missing_alt), values=lambda i: {"src": i["src"]}),
         Rule("onpage.image_alt_is_filename", each=F.filter("images", lambda i: ~missing_alt(i) & named(i)), values=lambda i: {"src": i["src"], "alt": i["alt"]}),
-        Rule("onpage.generic_anchor_text", each=F.filter("links", lambda a: a["is_internal"] & F.lower(F.trim(a["text"])).isin(GENERIC_ANCHORS)), values=lambda a: {"href": a["href"], "anchor_text": a["text"]}),
+        Rule("onpage.generic_anchor_text", each=F.filter("links", lambda a: a["is_internal"] & F.lower(stripped(a["text"])).isin(GENERIC_ANCHORS)), values=lambda a: {"href": a["href"], "anchor_text": a["text"]}),
         Rule("onpage.thin_content", F.col("word_count") < THIN_WORDS, {"word_count": F.col("word_count")}),
         Rule("onpage.readability_difficult", (F.col("word_count") >= READABLE_WORDS) & (ease < DIFFICULT_EASE), {"flesch_score": ease, "word_count": F.col("word_count")}),
     ]
@@ -225,8 +226,8 @@ def technical_rules() -> list[Rule]:
     alive = ~F.coalesce(dead, F.lit(True))
     insecure = F.filter("images", lambda i: F.lower(i["src"]).startswith("http://"))
     absolute = ux.scheme(canonical) != ""
-    viewport = F.lower(F.trim("viewport"))
-    lang = lambda h: F.trim(h["hreflang"])
+    viewport = F.lower(stripped("viewport"))
+    lang = lambda h: stripped(h["hreflang"])
     bad_code = lambda h: (lang(h) != "") & (F.lower(lang(h)) != "x-default") & ~lang(h).rlike(LANGUAGE_CODE)
     rules = [
         Rule("technical.http_unencrypted", ux.scheme(url) == "http", {"url": url}),

@@ -155,12 +155,53 @@ def text_rules(spark: SparkSession, directory: str) -> DataFrame:
     )
     ease = tx.reading_ease(F.col("body_text"), F.col("word_count"))
     wanted = [
-        rules.Rule("onpage.thin_content", F.col("word_count") < rules.THIN_WORDS),
-        rules.Rule("onpage.readability_difficult", (F.col("word_count") >= rules.READABLE_WORDS) & (ease < rules.DIFFICULT_EASE)),
+        rules.Rule("onpage.thin_content", F.col("word_count") < rules.THIN_WORDS, {"word_count": F.col("word_count")}),
+        rules.Rule("onpage.readability_difficult", (F.col("word_count") >= rules.READABLE_WORDS) & (ease < rules.DIFFICULT_EASE), {"flesch_score": ease}),
     ]
     return rules.evaluated(rows, wanted).select(F.col("page_url").cast("bigint").alias("doc_id"), "rule_id")
 
 
+def _line_rules(column: str, rule: str, worst: str, least: int, most: int, said: tuple[str, ...]) -> str:
+    """SQL of the rules on presence and length of a line, and on lines that several documents of a site share."""
+    missing, empty, short, long, shared = said
+    bare = f"regexp_replace({column}, '^{_WS}+|{_WS}+$', '', 'g')"
+    n = f"length({bare})"
+    shorts = "info" if rule == "meta_description" else "warning"
+    return f"""SELECT doc_id, 'onpage.{rule}_missing' AS rule_id, '{worst}' AS severity, '{missing}' AS message FROM t WHERE {column} = ''
+      UNION ALL SELECT doc_id, 'onpage.{rule}_empty', '{worst}', '{empty}' FROM t WHERE {column} <> '' AND {bare} = ''
+      UNION ALL SELECT doc_id, 'onpage.{rule}_too_short', '{shorts}', format('{short}', {n}) FROM t WHERE {bare} <> '' AND {n} < {least}
+      UNION ALL SELECT doc_id, 'onpage.{rule}_too_long', 'warning', format('{long}', {n}) FROM t WHERE {n} > {most}
+      UNION ALL SELECT doc_id, 'onpage.{rule}_duplicate', 'warning', format('{shared}', others) FROM (
+        SELECT doc_id, count(*) OVER (PARTITION BY site, {bare}) - 1 AS others FROM t WHERE {bare} <> '' AND site IS NOT NULL) WHERE others > 0"""
+
+
+_LINES = "WITH t AS (SELECT doc_id, site, split_part(coalesce(text, ''), chr(10), 1) AS title, split_part(coalesce(text, ''), chr(10), 2) AS description FROM documents)"
+_TITLE_TEXTS = (
+    "Page is missing a <title> tag", "Page <title> tag is empty", "Title tag is too short ({} characters). Optimal length is 30–60 characters.",
+    "Title tag is too long ({} characters) and may be truncated in search results.", "Title tag is identical to {} other page(s) on the site",
+)
+_DESCRIPTION_TEXTS = (
+    "Page is missing a meta description tag", "Meta description tag is empty", "Meta description is very short ({} characters). Recommended is 70–160 characters.",
+    "Meta description is too long ({} characters) and will likely be truncated.", "Meta description is identical to {} other page(s) on the site",
+)
+
+
+@query(f"""{_LINES} {_line_rules('title', 'title', 'critical', 30, 60, _TITLE_TEXTS)}
+    UNION ALL {_line_rules('description', 'meta_description', 'warning', 70, 160, _DESCRIPTION_TEXTS)}""")
+def line_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings of the rules on titles and descriptions over the documents: their first line is the title, the second one the
+    description, and the documents of a site are one audit."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, directory, "documents").select(
+        F.col("site").alias("audit_id"), F.lit("").alias("tenant_id"), F.col("doc_id").alias("page_id"), F.col("doc_id").cast("string").alias("url"),
+        F.lit("success").alias("parse_status"), F.lit(200).alias("status_code"), F.split_part(text, F.lit("\n"), F.lit(1)).alias("title"),
+        F.split_part(text, F.lit("\n"), F.lit(2)).alias("meta_description"),
+    )
+    single = [r for r in rules.onpage_rules() if r.rule_id.startswith(("onpage.title_", "onpage.meta_description_"))]
+    found = rules.evaluated(rows, single).unionByName(graph.duplicate_titles(rows)).unionByName(graph.duplicate_descriptions(rows))
+    return found.select(F.col("page_url").cast("bigint").alias("doc_id"), "rule_id", "severity", "message")
+
+
 _SAMPLED = f"""WITH f AS (SELECT doc_id, site, text, {_FIELDS % "lower(coalesce(text, ''))"} AS w FROM documents),
     h AS (SELECT doc_id, site, text, md5(array_to_string(list_filter(w, lambda x, i: (i - 1) % greatest(1, len(w) // 30) = 0), ' ')) AS fingerprint FROM f)"""
 
@@ -416,6 +457,43 @@ def cross_page_findings(spark: SparkSession, directory: str) -> DataFrame:
     return graph.cross_page_findings(_parsed(spark, directory))
 
 
+def _matching(column: str) -> str:
+    """SQL of the form in which links are compared."""
+    s, a, p, q = (f"regexp_extract({column}, {_URL}, {k})" for k in (1, 2, 3, 4))
+    return f"""(CASE WHEN {s} <> '' THEN lower({s}) || ':' ELSE '' END || CASE WHEN {a} <> '' THEN '//' || lower({a}) ELSE '' END
+      || regexp_replace({p}, '/+$', '') || CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END)"""
+
+
+_GRAPH = f"""WITH c AS (SELECT page_id, audit_id, url, status_code, coalesce(discovered_links, []) AS links FROM crawl_pages
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY page_id) = 1),
+    g AS (SELECT *, {_matching('url')} AS address, coalesce(links[-1], '') AS canonical FROM c),
+    l AS (SELECT DISTINCT audit_id, {_matching('href')} AS address FROM (SELECT audit_id, unnest(links) AS href FROM g WHERE status_code = 200)),
+    k AS (SELECT audit_id, address, arg_max({_matching('canonical')}, page_id) AS target FROM g WHERE canonical <> '' GROUP BY ALL),
+    e AS (SELECT audit_id, url, status_code, address, {_matching('href')} AS target FROM (SELECT *, unnest(links[-3:-2]) AS href FROM g) WHERE href <> ''),
+    v AS (SELECT audit_id, address AS target FROM g GROUP BY ALL HAVING arg_max(status_code, page_id) = 200),
+    x AS (SELECT g.audit_id, g.url, 'onpage.orphan_page' AS rule_id FROM g ANTI JOIN l USING (audit_id, address)
+        WHERE status_code = 200 AND regexp_extract(url, {_URL}, 3) NOT IN ('', '/')
+      UNION ALL SELECT g.audit_id, g.url, 'technical.canonical_chain_conflict' FROM g JOIN k a ON a.audit_id = g.audit_id AND a.address = g.address
+        JOIN k b ON b.audit_id = g.audit_id AND b.address = a.target WHERE g.status_code = 200 AND a.target <> g.address AND b.target <> a.target
+      UNION ALL SELECT e.audit_id, e.url, 'technical.hreflang_missing_reciprocal' FROM e JOIN v ON v.audit_id = e.audit_id AND v.target = e.target
+        WHERE e.status_code = 200 AND NOT EXISTS (SELECT 1 FROM e b WHERE b.audit_id = e.audit_id AND b.address = e.target AND b.target = e.address))"""
+
+
+@query(f"{_GRAPH} SELECT audit_id, url AS page_url, rule_id, count(*) AS n FROM x GROUP BY ALL")
+def link_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings of the rules on graphs over the links of the crawled pages: the last link stands for the canonical address, the
+    two before it for language alternates."""
+    links = F.coalesce("discovered_links", F.array().cast("array<string>"))
+    link = lambda u: F.struct(u.alias("href"), F.lit("").alias("text"), F.lit(True).alias("is_internal"))
+    rows = _pages(spark, directory).select(
+        "page_id", "audit_id", "tenant_id", "url", "status_code", F.lit("success").alias("parse_status"), F.transform(links, link).alias("links"),
+        F.coalesce(F.try_element_at(links, F.lit(-1)), F.lit("")).alias("canonical_url"),
+        F.transform(F.when(F.size(links) > 2, F.slice(links, -3, 2)).otherwise(F.slice(links, 1, F.greatest(F.size(links) - 1, F.lit(0)))), lambda u: F.struct(F.lit("en").alias("hreflang"), u.alias("href"))).alias("hreflangs"),
+    )
+    found = graph.orphan_pages(rows).unionByName(graph.canonical_chains(rows)).unionByName(graph.missing_reciprocals(rows))
+    return found.groupBy("audit_id", "page_url", "rule_id").agg(F.count("*").alias("n"))
+
+
 @query()
 def keyword_findings(spark: SparkSession, directory: str) -> DataFrame:
     """Findings on pages that compete for a keyword."""
