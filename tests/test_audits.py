@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import audit, keywords, report, rules
+from auditloom.operators import audit, html_facts, keywords, report, rules
 
 PAGES = "page_id bigint, audit_id string, tenant_id string, url string, status_code int, html string, error_message string"
 PROFILES = "page_id bigint, audit_id string, tenant_id string, page_url string, primary_keyword string"
@@ -86,3 +86,20 @@ def test_conflicts_match_a_plain_model(spark):
 def test_quoted(spark):
     row = spark.createDataFrame([('a "b" \\ c',)], "x string").select(rules.quoted(F.col("x")).alias("q")).first()
     assert row.q == '"a \\"b\\" \\\\ c"'
+
+
+def test_profiles_broadcast_no_terms(spark):
+    bodies = ["Copper kettle boils fast on the copper stove", "Green tea in a copper kettle", "Green tea pot and green tea cup with tea", "kettle kettle kettle kettle kettle"]
+    rows = [_page(k, bodies[k % 4].title(), f"<h1>{bodies[(k + 1) % 4]}</h1><p>{bodies[k % 4]} {bodies[k % 3]}</p>", audit_id="A" if k % 3 else "B") for k in range(24)]
+    pages = spark.createDataFrame(rows + [_page(99, "", "<p>the of and to in it</p>")], PAGES)
+    parsed = html_facts.parsed_pages(pages)
+    whole, split = keywords.page_profiles(parsed), keywords.page_profiles(parsed, local_pages=10)
+    # sides grown from texts are larger than what Spark expects of them
+    assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
+    columns = ["page_id", "audit_id", "tenant_id", "page_url", "primary_keyword", "secondary_keywords", "top_terms", "named_entities"]
+    got = [sorted(str(tuple(r)) for r in x.select(columns).collect()) for x in (whole, split)]
+    assert len(got[0]) == 25 and got[0] == got[1]
+    one = {r.page_id: r for r in whole.collect()}
+    assert one[99].primary_keyword == "general" and one[99].top_terms is None and one[99].secondary_keywords is None
+    # three in the title, three in the paragraph
+    assert one[3].top_terms[0].term == one[3].primary_keyword and {t.term: t.occurrences for t in one[3].top_terms}["kettle kettle kettle"] == 6
