@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from auditloom.operators import audit, html_facts, keywords, report, rules
+from auditloom.session import written
 
 PAGES = "page_id bigint, audit_id string, tenant_id string, url string, status_code int, html string, error_message string"
 PROFILES = "page_id bigint, audit_id string, tenant_id string, page_url string, primary_keyword string"
@@ -103,3 +104,14 @@ def test_profiles_broadcast_no_terms(spark):
     assert one[99].primary_keyword == "general" and one[99].top_terms is None and one[99].secondary_keywords is None
     # three in the title, three in the paragraph
     assert one[3].top_terms[0].term == one[3].primary_keyword and {t.term: t.occurrences for t in one[3].top_terms}["kettle kettle kettle"] == 6
+
+
+def test_findings_read_written_profiles(spark):
+    rows = [_page(k, "Copper kettle guide", f'<p>A copper kettle boils fast</p><a href="/p{k + 1}">next</a>') for k in range(5)]
+    parsed = written(html_facts.parsed_pages(spark.createDataFrame(rows, PAGES)), "parsed")
+    found = audit.findings(parsed, F.lit(None).cast("timestamp"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ourselves" not in plan  # a stop word: terms would be counted again for every use of the profiles
+    assert "Broadcast" not in audit.inbound_degree(parsed).join(parsed.select("audit_id"), "audit_id")._jdf.queryExecution().executedPlan().toString()
+    got = {(r.rule_id, r.page_url[-2:]) for r in found.collect()}
+    assert {("keywords.cannibalization", "p0"), ("onpage.title_duplicate", "p4"), ("onpage.orphan_page", "p0")} <= got and ("onpage.orphan_page", "p3") not in got
