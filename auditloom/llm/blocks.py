@@ -17,6 +17,8 @@ EDGES = BLOCK_ELEMENTS | frozenset(
     "header hgroup hr html main menu nav noscript ol option section select summary table tbody tfoot thead th tr ul".split()
 )
 CODE = frozenset("code kbd samp".split())
+#: Elements whose content is no markup and no text of the page.
+SKIPPED = RAW_TEXT | ESCAPABLE_RAW_TEXT
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[\s_-]+")
 
@@ -48,103 +50,107 @@ def leaf_blocks(html: str | None) -> list[Block]:
     stack = [root]
     found: list[tuple[str, _Open, int, int, bool]] = []
     text: list[str] = []
-    link_text = links = code_text = number = 0
+    link_text = links = code_text = blank = number = 0
     in_link = False
     code = 0
-    at, scan, size = 0, TAG.search, len(html)
+    at, size = 0, len(html)
 
     def flush() -> None:
-        nonlocal link_text, links, code_text
+        nonlocal link_text, links, code_text, blank
         if text:
             whole = "".join(text)
             text.clear()
-            if not whole.isspace():
-                shown = 2 * code_text > len(whole)
-                if "&" in whole:
-                    whole = unescape(whole)
-                whole = " ".join(whole.split())
-                if whole:
-                    found.append((whole, stack[-1], link_text, links, shown or stack[-1].name == "pre"))
-        link_text = links = code_text = 0
+            shown = 2 * code_text > blank + len(whole)
+            if "&" in whole:
+                whole = unescape(whole)
+            whole = " ".join(whole.split())
+            if whole:
+                top = stack[-1]
+                found.append((whole, top, link_text, links, shown or top.name == "pre"))
+        link_text = links = code_text = blank = 0
 
     while at < size:
-        hit = scan(html, at)
-        if hit is None:
-            text.append(html[at:])
-            break
-        start = hit.start()
-        if start > at:
-            piece = html[at:start]
-            text.append(piece)
-            if in_link:
-                link_text += len(piece)
-            if code:
-                code_text += len(piece)
-        at = hit.end()
-        slash, name, attrs = hit.groups()
-        if name is None:
-            continue
-        name = name.lower()
-        if slash:
+        for hit in TAG.finditer(html, at):
+            start = hit.start()
+            if start > at:
+                piece = html[at:start]
+                # white space before a block's text only counts for the share of code
+                if text or not piece.isspace():
+                    text.append(piece)
+                else:
+                    blank += start - at
+                if in_link:
+                    link_text += start - at
+                if code:
+                    code_text += start - at
+            at = hit.end()
+            slash, name, attrs = hit.groups()
+            if name is None:
+                continue
+            name = name.lower()
+            if slash:
+                if name == "a":
+                    in_link = False
+                elif name in CODE:
+                    code = max(0, code - 1)
+                if name in EDGES:
+                    if stack[-1].name == name:
+                        flush()
+                        if len(stack) > 1:
+                            stack.pop()
+                        continue
+                    for k in range(len(stack) - 1, 0, -1):
+                        if stack[k].name == name:
+                            flush()
+                            del stack[k:]
+                            break
+                    else:
+                        flush()
+                continue
+            if name in SKIPPED:
+                at = raw_end(html, name, at)[1]
+                break  # the scan goes on behind it
             if name == "a":
-                in_link = False
-            elif name in CODE:
-                code = max(0, code - 1)
-            if name in EDGES:
-                if stack[-1].name == name:
-                    flush()
-                    if len(stack) > 1:
-                        stack.pop()
-                    continue
+                in_link, links = True, links + 1
+                continue
+            if name == "br":
+                text.append(" ")
+                continue
+            if name in CODE:
+                code += 1
+            if name not in EDGES:
+                continue
+            flush()
+            if name in ("html", "body"):
+                if name == "body":
+                    root.names = _names(attrs)
+                continue
+            if name in CLOSES_P and stack[-1].name == "p":
+                stack.pop()
+            if name in IMPLIED_END:
+                ends, bounds = IMPLIED_END[name]
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        flush()
+                    if stack[k].name in ends:
                         del stack[k:]
                         break
-                else:
-                    flush()
-            continue
-        if name in RAW_TEXT or name in ESCAPABLE_RAW_TEXT:
-            at = raw_end(html, name, at)[1]
-            continue
-        if name == "a":
-            in_link, links = True, links + 1
-            continue
-        if name == "br":
-            text.append(" ")
-            continue
-        if name in CODE:
-            code += 1
-        if name not in EDGES:
-            continue
-        flush()
-        if name in ("html", "body"):
-            if name == "body":
-                root.names = _names(attrs)
-            continue
-        if name in CLOSES_P and stack[-1].name == "p":
-            stack.pop()
-        if name in IMPLIED_END:
-            ends, bounds = IMPLIED_END[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in ends:
-                    del stack[k:]
-                    break
-                if stack[k].name in bounds:
-                    break
-        if name in VOID:
-            continue
-        top = stack[-1]
-        block = name in BLOCK_ELEMENTS
-        if block:
-            for x in reversed(stack):
-                if x.inner:
-                    break
-                x.inner = True
-        names = top.names + _names(attrs) if attrs and "=" in attrs else top.names
-        if not attrs.endswith("/"):
-            number += 1
-            stack.append(_Open(name, names, (*top.path, name), (*top.ids, number), block))
+                    if stack[k].name in bounds:
+                        break
+            if name in VOID:
+                continue
+            top = stack[-1]
+            block = name in BLOCK_ELEMENTS
+            if block:
+                for x in reversed(stack):
+                    if x.inner:
+                        break
+                    x.inner = True
+            names = top.names + _names(attrs) if attrs and "=" in attrs else top.names
+            if not attrs.endswith("/"):
+                number += 1
+                stack.append(_Open(name, names, (*top.path, name), (*top.ids, number), block))
+        else:
+            text.append(html[at:])
+            break
     flush()
     return [Block(whole, o.name, o.path, o.names, a, n, o.block and not o.inner, o.ids, c) for whole, o, a, n, c in found]
 

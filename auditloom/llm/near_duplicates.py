@@ -45,6 +45,14 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Hashes(dict[str, int]):
+    """64-bit hashes of words, made when they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        made = self[word] = xxhash.xxh64_intdigest(word)
+        return made
+
+
 class Sketcher:
     """Class key, sketch and bucket keys of word lists. Hashes of known words are kept within a bound."""
 
@@ -54,7 +62,7 @@ class Sketcher:
         if not 1 <= shingle <= len(_PLACE):
             raise ValueError(f"shingle must be 1 to {len(_PLACE)} words")
         self.shingle = shingle
-        self._hashes: dict[str, int] = {}
+        self._hashes = _Hashes()
 
     def sequences(self, words: Sequence[str]) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the word sequences; of a shorter text its words together are the only one."""
@@ -63,9 +71,7 @@ class Sketcher:
         known = self._hashes
         if len(known) > self.MOST_WORDS:
             known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        one = np.array([known[w] for w in words], np.uint64)
+        one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(one) - self.shingle + 1)
         whole = np.zeros(n, np.uint64)
         for k in range(min(self.shingle, len(one))):
@@ -77,21 +83,26 @@ class Sketcher:
 
     def __call__(self, words: Sequence[str]) -> tuple[bytes, bytes, np.ndarray] | None:
         """Class key (128 bits), sketch and bucket keys; None for a text without words."""
-        hashes = self.sequences(words)
-        if not len(hashes):
-            return None
-        least = np.full(SKETCH_BITS, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 4096):  # bounds memory on very long texts
-            part = hashes[at : at + 4096, None] * _MULTIPLY
-            np.minimum(least, part.min(0), out=least)
+        return self.many([words])[0]
+
+    def many(self, texts: Sequence[Sequence[str]]) -> list[tuple[bytes, bytes, np.ndarray] | None]:
+        """The same for each of many texts."""
+        least = np.full((len(texts), SKETCH_BITS), np.iinfo(np.uint64).max, np.uint64)
+        classes: list[bytes | None] = []
+        for low, words in zip(least, texts):
+            hashes = self.sequences(words)
+            classes.append(xxhash.xxh128_digest(hashes.tobytes()) if len(hashes) else None)
+            for at in range(0, len(hashes), 4096):  # bounds memory on very long texts
+                part = hashes[at : at + 4096, None] * _MULTIPLY
+                np.minimum(low, part.min(0), out=low)
         mixed = (least ^ (least >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        sketch = np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).tobytes()
-        rows = least.reshape(BUCKETS, ROWS)
-        keys = np.arange(BUCKETS, dtype=np.uint64)
+        sketches = np.packbits((mixed >> np.uint64(63)).astype(np.uint8), axis=1)
+        rows = least.reshape(-1, BUCKETS, ROWS)
+        keys = np.tile(np.arange(BUCKETS, dtype=np.uint64), (len(texts), 1))
         for k in range(ROWS):
-            keys = (keys ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+            keys = (keys ^ rows[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
             keys ^= keys >> np.uint64(32)
-        return xxhash.xxh128_digest(hashes.tobytes()), sketch, keys.view(np.int64)
+        return [c and (c, s.tobytes(), k) for c, s, k in zip(classes, sketches, keys.view(np.int64))]
 
 
 def within_radius(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -297,7 +308,6 @@ def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
 def sketch_columns(bodies: list[list[str]], sketcher: Sketcher) -> list[dict | None]:
     """class, sketch, buckets and body of word lists; None for a text without words."""
     found: list[dict | None] = []
-    for words in bodies:
-        made = sketcher(words)
+    for words, made in zip(bodies, sketcher.many(bodies)):
         found.append(made and {"class": made[0], "sketch": made[1], "buckets": made[2].tolist(), "body": " ".join(words)})
     return found

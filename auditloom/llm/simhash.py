@@ -29,15 +29,14 @@ class SimHasher:
 
     def __init__(self) -> None:
         self._index: dict[str, int] = {}
-        self._signs = np.empty((1024, BITS), np.int16)
+        self._signs = np.empty((1024, BITS), np.uint8)
 
     def _of(self, word: str) -> int:
         k = len(self._index)
         if k == len(self._signs):
             self._signs = np.concatenate([self._signs, np.empty_like(self._signs)])
         half = xxhash.xxh128_digest(word)
-        bits = np.unpackbits(np.frombuffer(half + xxhash.xxh128_digest(word, 1), np.uint8))
-        self._signs[k] = bits.astype(np.int16) * 2 - 1
+        self._signs[k] = np.unpackbits(np.frombuffer(half + xxhash.xxh128_digest(word, 1), np.uint8))
         self._index[word] = k
         return k
 
@@ -54,9 +53,15 @@ class SimHasher:
         def emit() -> None:
             if not rows:
                 return
-            # sums of signs fit 16 bits unless a text has more distinct words than that
-            wide = np.int16 if len(rows) < 30_000 else np.int32
-            above = np.add.reduceat(self._signs[rows], starts, axis=0, dtype=wide) > 0
+            # eight counters of a byte are added as one integer, over so many words that none overflows
+            sizes = np.diff([*starts, len(rows)])
+            parts = -(-sizes // 255)
+            first = np.cumsum(parts) - parts
+            cuts = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+            ones = np.add.reduceat(self._signs.view(np.uint64)[rows], cuts, axis=0).view(np.uint8)
+            if len(cuts) > len(starts):
+                ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
+            above = ones > (sizes // 2)[:, None]
             out[filled] = np.packbits(above, axis=1).view(np.int64)
             rows.clear(), starts.clear(), filled.clear()
 

@@ -99,3 +99,16 @@ def test_addresses_of_one_page(spark, tmp_path):
     assert {tuple(r) for r in nd.all_pairs(members, links).distinct().collect()} == wanted
     classes = {r.id: (r.class_id, r.links) for r in nd.linked_classes(members, links).collect()}
     assert classes[1] == (1, 2) and classes[2] == (2, 2) and classes[3] == classes[4] == (3, 2) and classes[7] == (7, 0) and set(classes) == {*range(1, 8), 10, 11}
+
+
+def test_sketches_of_many_texts_at_once():
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in (0, 1, 2, 3, 60, 0, 5000)]
+    one = [nd.Sketcher(3)(t) for t in texts]
+    many = nd.Sketcher(3).many(texts)
+    assert [m is None for m in many] == [not t for t in texts] and nd.Sketcher(3).many([]) == []
+    assert all(a[:2] == b[:2] and a[2].tolist() == b[2].tolist() for a, b in zip(many, one) if a)
+    # by the definition: the least of all products for each of the multipliers
+    least = (nd.Sketcher(3).sequences(texts[4])[:, None] * nd._MULTIPLY).min(0)
+    bits = (((least ^ (least >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(63)).astype(np.uint8)
+    assert np.packbits(bits).tobytes() == many[4][1]

@@ -2,6 +2,8 @@ import hashlib
 import re
 from random import Random
 
+import numpy as np
+
 from auditloom.llm.blocks import leaf_blocks
 from auditloom.llm.crf import Chain, fit
 from auditloom.llm.main_body import BodyFinder, label_page, page_features, train
@@ -200,3 +202,19 @@ def test_page_queries(spark):
     assert keys.count() == keys.distinct().count() and keys.where("page_id in (100, 101, 102, 103, 104)").count() == 0
     empty = written(page_bodies(pages.limit(0), fit_model(pages.limit(0)), KEYS), "t")
     assert residue_pages(empty).count() == 0 and main_body_keys(empty, residue_pages(empty)).count() == 0
+
+
+def test_signs_are_counted_in_bytes():
+    hasher = SimHasher()
+    sets = [[f"w{i}" for i in range(n)] for n in (1, 2, 254, 255, 256, 510, 511, 900)]
+    got = hasher(sets)
+    assert hasher._signs.itemsize == 1
+    for words, mark in zip(sets, got):
+        signs = 2 * hasher._signs[[hasher._index[w] for w in words]].astype(int) - 1
+        assert np.packbits(signs.sum(0) > 0).view(np.int64).tolist() == mark.tolist()
+
+
+def test_white_space_before_a_block_counts_for_its_share_of_code():
+    shown = lambda html: [(b.text, b.code) for b in leaf_blocks(html)]
+    assert shown("<p>      <code>abcd</code></p><p>ab<code>abcd</code></p>") == [("abcd", False), ("ababcd", True)]
+    assert shown("<p>a<script>1 < 2 <p>no</script> b</p><textarea><p>no") == [("a b", False)]
