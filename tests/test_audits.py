@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import audit, html_facts, keywords, report, rules
+from auditloom.operators import audit, graph, html_facts, keywords, report, rules
 from auditloom.session import written
 
 PAGES = "page_id bigint, audit_id string, tenant_id string, url string, status_code int, html string, error_message string"
@@ -115,3 +115,18 @@ def test_findings_read_written_profiles(spark):
     assert "Broadcast" not in audit.inbound_degree(parsed).join(parsed.select("audit_id"), "audit_id")._jdf.queryExecution().executedPlan().toString()
     got = {(r.rule_id, r.page_url[-2:]) for r in found.collect()}
     assert {("keywords.cannibalization", "p0"), ("onpage.title_duplicate", "p4"), ("onpage.orphan_page", "p0")} <= got and ("onpage.orphan_page", "p3") not in got
+
+
+def test_findings_broadcast_nothing(spark):
+    body = "<h1>Copper kettle</h1><p>" + "A copper kettle boils fast. " * 20 + '</p><a href="/p1">next</a>'
+    rows = [_page(k, "Copper kettle guide", body) for k in range(6)]
+    parsed = written(html_facts.parsed_pages(spark.createDataFrame(rows, PAGES)), "parsed")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # every side grows with the pages, and a written table is smaller than its rows in memory
+    assert "Broadcast" not in plan(audit.findings(parsed, F.lit(None).cast("timestamp")))
+    copies = graph.duplicate_contents(parsed)
+    assert "md5" not in plan(copies)  # the fingerprint of a text is computed once, not for every use
+    assert sorted(r.page_url[-2:] for r in copies.collect()) == [f"p{k}" for k in range(6)]
+    made = audit.run(spark.createDataFrame(rows, PAGES))
+    assert "Broadcast" not in plan(made.issues) and "Broadcast" not in plan(made.totals)
+    assert made.totals.first().total_pages == 6 and made.issues.count() > 3
