@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from auditloom import session
 from auditloom.operators import audit, graph, html_facts, keywords, report, rules
 from auditloom.session import written
 
@@ -130,3 +131,26 @@ def test_findings_broadcast_nothing(spark):
     made = audit.run(spark.createDataFrame(rows, PAGES))
     assert "Broadcast" not in plan(made.issues) and "Broadcast" not in plan(made.totals)
     assert made.totals.first().total_pages == 6 and made.issues.count() > 3
+
+
+def test_no_plan_of_an_audit_has_all_its_joins(spark, monkeypatch):
+    """The driver plans a job anew with every stage that ends, so its heap grew most under one plan with all analyses."""
+    body = "<h1>Copper kettle</h1><p>" + "A copper kettle boils fast. " * 20 + '</p><a href="/p1">next</a>'
+    rows = [_page(k, "Copper kettle guide", body) for k in range(6)]
+    plans, write = {}, session.write_scratch
+
+    def watched(df, name, *rest):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *rest)
+
+    monkeypatch.setattr(session, "write_scratch", watched)
+    made = audit.run(spark.createDataFrame(rows, PAGES))
+    whole = [p for parts in plans.values() for p in parts]
+    assert len(plans["audit-findings"]) > 1 and max(p.count("SortMergeJoin") for p in whole) <= 6
+    assert not any("Broadcast" in p for p in whole) and not any("ourselves" in p for p in plans["audit-findings"])
+    assert "SortMergeJoin" not in made.findings._jdf.queryExecution().executedPlan().toString()
+    # nothing is lost or repeated between the parts: each is the same as if it were made alone
+    parts = [rules.onpage_findings(made.pages), rules.technical_findings(made.pages), graph.cross_page_findings(made.pages), keywords.conflict_findings(made.profiles)]
+    wanted = {tuple(r) for part in parts for r in part.collect()}
+    got = [tuple(r) for r in made.findings.select(rules.FINDING).collect()]
+    assert len(got) == len(wanted) and set(got) == wanted and len({r[4] for r in got}) > 4
